@@ -1 +1,73 @@
 """Queries of the numbered problems that belong to the core."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.sampling import permutation_sample
+from ..operators.terms import distinct_records, term_frequencies
+from ..runtime import table
+from .registry import query
+
+SAMPLE_SIZE, DECADE_SAMPLE_SIZE = 1000, 50
+
+_WORKS_SQL = """
+works as (
+  select b.work_id, b.first_batch, w.year, cast(floor(w.year / 10) * 10 as int) as decade from
+  (select work_id, min(batch) as first_batch from goodreads_books where work_id is not null group by work_id) b
+  left join (select work_id, max(case when y between 1000 and 2100 then y end) as year from
+    (select work_id, try_cast(regexp_extract(original_publication_year, '^\\s*([0-9]{4})(?:[^0-9].*)?$', 1) as int) as y from goodreads_book_works) group by work_id) w
+  on b.work_id = w.work_id)"""
+
+_PLACE_SQL = "md5('{seed}:' || cast(work_id as varchar))"
+
+
+def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every work once, with its first batch, year and decade."""
+    books = table(spark, sf_dir, "goodreads_books").where("work_id is not null").groupBy("work_id").agg(F.min("batch").alias("first_batch"))
+    year = F.regexp_extract("original_publication_year", r"^\s*([0-9]{4})(?:[^0-9].*)?$", 1)
+    years = table(spark, sf_dir, "goodreads_book_works").select("work_id", F.when(year != "", year).cast("int").alias("y")).groupBy("work_id").agg(F.max(F.when(F.col("y").between(1000, 2100), F.col("y"))).alias("year"))
+    return books.join(years, "work_id", "left").withColumn("decade", (F.floor(F.col("year") / 10) * 10).cast("int"))
+
+
+@query("p6_sample", f"""with {_WORKS_SQL},
+placed as (select 'all' as stratum, *, {_PLACE_SQL.format(seed=6)} as place from works
+  union all select coalesce(cast(decade as varchar), 'unknown'), *, {_PLACE_SQL.format(seed=60)} from works),
+ranked as (select *, row_number() over (partition by stratum order by place, work_id) as position from placed)
+select stratum, position, work_id, first_batch, year, decade from ranked
+where position <= case when stratum = 'all' then {SAMPLE_SIZE} else {DECADE_SAMPLE_SIZE} end""")
+def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of fixed size of the works, overall and for every decade."""
+    works = _works(spark, sf_dir)
+    overall = permutation_sample(works, "work_id", SAMPLE_SIZE, seed=6)
+    decades = permutation_sample(works, "work_id", DECADE_SAMPLE_SIZE, F.coalesce(F.col("decade").cast("string"), F.lit("unknown")), seed=60)
+    return overall.unionByName(decades).select("stratum", F.col("position").cast("bigint").alias("position"), "work_id", "first_batch", "year", "decade")
+
+
+_TERMS_SQL = r"""with records as (
+  select 'b' || book_id as id, max(description) as text from goodreads_books where book_id is not null group by book_id
+  union all select 'w' || wiki_id, max(summary) from booksummaries where wiki_id is not null group by wiki_id),
+words as (select id, unnest(regexp_extract_all(lower(text), '\p{L}+')) as term from records),
+counted as (select term, count(*) as occurrences, count(distinct id) as records from words group by term),
+marked as (select term, occurrences, records, case when records <= 2 then 'rare'
+  when records > 0.25 * (select count(distinct id) from words) then 'common' end as mark from counted)
+"""
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = distinct_records(table(spark, sf_dir, "goodreads_books"), "book_id", "description")
+    summaries = distinct_records(table(spark, sf_dir, "booksummaries"), "wiki_id", "summary")
+    return term_frequencies(books.unionByName(summaries))
+
+
+@query("p7_found", _TERMS_SQL + "select term, mark from marked where mark is not null")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of summaries and descriptions that are too rare or too common."""
+    return _terms(spark, sf_dir).where("mark is not null").select("term", "mark")
+
+
+@query("p7_terms", _TERMS_SQL + "select * from marked")
+def p7_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All terms of summaries and descriptions with their counts and mark."""
+    return _terms(spark, sf_dir)

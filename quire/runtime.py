@@ -1,35 +1,52 @@
-"""Session helpers: durable checkpoints and bounded broadcasts."""
+"""Session helpers: durable cuts of the lineage in the shared folder."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temporary one only where none is named.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    A cluster names its folder in ``spark.checkpoint.dir``. A temporary folder on this
-    machine is used only in local mode, where driver and executor are one process.
+    A folder of this machine is made only where none is named and the session runs in
+    local mode, where driver and executor are one process.
     """
-    jsc = spark.sparkContext._jsc.sc()
-    current = jsc.getCheckpointDir()
-    if current.isDefined():
-        return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            named = current.get()
+        elif not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="quire-checkpoint-")
-    spark.sparkContext.setCheckpointDir(named)
+        else:
+            named = tempfile.mkdtemp(prefix="quire-shared-")
+            spark.sparkContext.setCheckpointDir(named)
     return named
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again.
+
+    Like a reliable checkpoint it ends the lineage and survives lost executors; columnar
+    and compressed, it takes less room. The table is removed when the program ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # the session has ended; the folder's owner cleans up
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
