@@ -105,7 +105,7 @@ def pack(
         return run
 
     packed = cut(items.mapInArrow(first, _WINDOW))
-    closed, left, tasks = packed.where("not open"), packed.where("open"), packed.rdd.getNumPartitions()
+    closed, left, tasks = packed.where("not open"), packed.where("open"), items.rdd.getNumPartitions()
     while tasks > 1:
         tasks = -(-tasks // MERGE_FAN_IN)
         merged = left.repartition(tasks).mapInArrow(merge(tasks == 1), _WINDOW)
