@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sampling import permutation_sample
+from ..operators.shared_spans import shared_pairs, shared_share
 from ..operators.terms import distinct_records, term_frequencies
 from ..runtime import table
 from .registry import query
@@ -71,3 +72,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All terms of summaries and descriptions with their counts and mark."""
     return _terms(spark, sf_dir)
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of different works whose descriptions share 200 consecutive characters."""
+    pairs = shared_pairs(table(spark, sf_dir, "goodreads_books"), "book_id", "work_id", "description", 200)
+    return pairs.select(F.col("id_a").alias("book_id_a"), F.col("id_b").alias("book_id_b"))
+
+
+@query("p3_share")
+def p3_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each description stands in the descriptions of other works."""
+    return shared_share(table(spark, sf_dir, "goodreads_books"), "book_id", "work_id", "description", 200).withColumnRenamed("id", "book_id")
