@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.languages import language_of_code
+from ..operators.representatives import top_per_group
 from ..operators.sampling import permutation_sample
 from ..operators.shared_spans import shared_pairs, shared_share
 from ..operators.terms import distinct_records, term_frequencies
 from ..runtime import table
+from . import registry
 from .registry import query
 
 SAMPLE_SIZE, DECADE_SAMPLE_SIZE = 1000, 50
@@ -85,3 +88,43 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each description stands in the descriptions of other works."""
     return shared_share(table(spark, sf_dir, "goodreads_books"), "book_id", "work_id", "description", 200).withColumnRenamed("id", "book_id")
+
+
+_STOP_WORDS = {
+    "en": "the and of is in that with to by for",
+    "fr": "le la les et des une est dans que qui",
+    "de": "der die das und ist nicht ein mit von den",
+    "es": "el la los y una es en que con del",
+    "pt": "o os e uma em que com não do da",
+    "it": "il che di e una è non per del gli",
+    "nl": "de het een van en is niet op dat met",
+}
+
+
+def _stop_word_language(books: DataFrame, texts: DataFrame) -> DataFrame:
+    """A plain stand-in for the language hook: the language with most stop words."""
+    words = F.split(F.lower("text"), r"[^\p{L}]+")
+    counts = [F.struct(F.size(F.filter(words, lambda w, v=v: w.isin(v.split()))).alias("n"), F.lit(k).alias("lang")) for k, v in _STOP_WORDS.items()]
+    return texts.select("id", F.greatest(*counts)["lang"].alias("lang"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every work the record with the best description and the one with the best label."""
+    books = table(spark, sf_dir, "goodreads_books")
+    columns = ["work_id", "description", "language_code", "updated_at"]
+    records = books.where("book_id is not null").groupBy("book_id").agg(F.max(F.struct(*columns)).alias("r")).select("book_id", "r.*").where("work_id is not null")
+    works = records.groupBy("work_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("work_id")
+    words = F.size(F.filter(F.split("description", r"(?U)\s+"), lambda w: w != ""))
+    fit = records.where(words >= 8).select("book_id", "work_id", "updated_at", F.length("description").alias("n_chars"))
+    if "residue" in registry.hooks:
+        fit = fit.join(registry.hooks["residue"](books), "book_id", "left_anti")
+    newest = F.col("updated_at").desc_nulls_last()
+    best = top_per_group(fit, "work_id", [F.col("n_chars").desc(), newest, F.col("book_id")]).join(works, "work_id").select("work_id", F.col("book_id").alias("description_book_id"))
+    texts = best.join(records.select(F.col("book_id").alias("description_book_id"), "description"), "description_book_id").select(F.col("work_id").alias("id"), F.col("description").alias("text"))
+    spoken = registry.hooks.get("language", _stop_word_language)(books, texts).select(F.col("id").alias("work_id"), "lang")
+    labelled = records.select("book_id", "work_id", "updated_at", language_of_code(F.col("language_code")).alias("code")).where("code is not null")
+    named = labelled.join(spoken, (labelled["work_id"] == spoken["work_id"]) & (labelled["code"] == spoken["lang"])).select(labelled["work_id"], "book_id", "updated_at")
+    language = top_per_group(named, "work_id", [newest, F.col("book_id")]).select("work_id", F.col("book_id").alias("language_book_id"))
+    zero = F.lit(0).cast("bigint")
+    return works.join(best, "work_id", "left").join(language, "work_id", "left").select("work_id", F.coalesce("description_book_id", zero).alias("description_book_id"), F.coalesce("language_book_id", zero).alias("language_book_id"))

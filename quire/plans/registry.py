@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
+#: What optional subpackages offer: ``residue`` gives the ids of records without genuine
+#: text from a table of books, ``language`` the main language ``id, lang`` of ``(id, text)``.
+hooks: dict = {}
+
 
 def query(name: str, sql: str | None = None):
     """Register a query ``(spark, sf_dir) -> DataFrame`` under a name."""
