@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.languages import language_of_code
+from ..functions.latin import LATIN_ACCENTS, LATIN_PLAIN
+from ..operators.matching import match_records
 from ..operators.representatives import top_per_group
 from ..operators.sampling import permutation_sample
 from ..operators.shared_spans import shared_pairs, shared_share
@@ -128,3 +130,66 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     language = top_per_group(named, "work_id", [newest, F.col("book_id")]).select("work_id", F.col("book_id").alias("language_book_id"))
     zero = F.lit(0).cast("bigint")
     return works.join(best, "work_id", "left").join(language, "work_id", "left").select("work_id", F.coalesce("description_book_id", zero).alias("description_book_id"), F.coalesce("language_book_id", zero).alias("language_book_id"))
+
+
+_NUMBERS = {"one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5"}
+
+
+def _folded(text) -> Column:
+    """Lower case without the accents of Latin letters."""
+    return F.translate(F.lower(text), LATIN_ACCENTS, LATIN_PLAIN)
+
+
+def _title_words(text) -> Column:
+    return F.filter(F.split(F.regexp_replace(_folded(text), "['’]", ""), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2)
+
+
+def _text_names(text) -> Column:
+    return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}])(\p{Lu}\p{L}{2,})"), F.lit(1))), _folded)
+
+
+def _volume(text) -> Column:
+    """The volume a title names, as a number or a word for a sequel; null where none."""
+    low = F.lower(text)
+    number = F.regexp_extract(low, r"(?:#|\b(?:volume|vol\.?|book|part|band|tome|tomo|deel)\s+)(\d+|one|two|three|four|five|six|i{1,3}|iv|v)\b", 1)
+    words = F.create_map(*[F.lit(x) for kv in _NUMBERS.items() for x in kv])
+    roman = F.regexp_extract(low, r"\s(ii|iii|iv|v)\W*$", 1)
+    number = F.when(number != "", number).otherwise(roman)
+    return F.when(number != "", F.coalesce(F.try_element_at(words, number), number)).when(low.rlike(r"\breturns\W*$|\bsequel\b|\bcontinued\b"), "sequel")
+
+
+def _exploded(df: DataFrame, **attributes) -> DataFrame:
+    parts = [df.select("id", F.lit(name).alias("attr"), F.explode(words).alias("token")) for name, words in attributes.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    year_of = lambda c: F.regexp_extract(c, r"(?<!\d)(1[5-9]\d\d|20[0-2]\d)(?!\d)", 1)
+    wiki = table(spark, sf_dir, "booksummaries").where("wiki_id is not null").groupBy(F.col("wiki_id").alias("id")).agg(F.max(F.struct("summary", "title", "author", "pub_date")).alias("r")).select("id", "r.*")
+    left = _exploded(wiki, title=_title_words(F.col("title")), person=_title_words(F.col("author")), name=_text_names(F.col("summary")))
+    left_info = wiki.select("id", F.when(year_of("pub_date") != "", year_of("pub_date")).cast("int").alias("year"), _volume(F.col("title")).alias("volume"))
+    books = table(spark, sf_dir, "goodreads_books").where("work_id is not null").select(F.col("work_id").alias("id"), "title", "title_without_series", "description", "authors")
+    editions = _exploded(books.select("id", "title_without_series").distinct(), title=_title_words(F.col("title_without_series")))
+    names = _exploded(books.select("id", "description").distinct(), name=_text_names(F.col("description")))
+    people = books.select("id", F.explode("authors.author_id").alias("author_id")).distinct().join(table(spark, sf_dir, "author_id_names").select("author_id", "name"), "author_id")
+    persons = _exploded(people.select("id", "name"), person=_title_words(F.col("name")))
+    right = editions.unionByName(names).unionByName(persons)
+    volumes = books.select("id", _volume(F.col("title")).alias("volume")).distinct().groupBy("id").agg(F.collect_set("volume").alias("volumes"))
+    years = table(spark, sf_dir, "goodreads_book_works").groupBy(F.col("work_id").alias("id")).agg(F.max(year_of("original_publication_year")).alias("y"))
+    right_info = volumes.join(years, "id", "left").select("id", F.when(F.col("y") != "", F.col("y")).cast("int").alias("year"), "volumes")
+    return match_records(left, right, left_info, right_info)
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The work that is the same book, for the books of booksummaries that have one."""
+    return _matches(spark, sf_dir).select(F.col("left_id").alias("wiki_id"), F.col("right_id").alias("work_id"))
+
+
+@query("p2_matches")
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same matches with their confidence and evidence."""
+    return _matches(spark, sf_dir).withColumnsRenamed({"left_id": "wiki_id", "right_id": "work_id"})
