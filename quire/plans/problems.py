@@ -172,8 +172,8 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = _exploded(wiki, title=_title_words(F.col("title")), person=_title_words(F.col("author")), name=_text_names(F.col("summary")))
     left_info = wiki.select("id", F.when(year_of("pub_date") != "", year_of("pub_date")).cast("int").alias("year"), _volume(F.col("title")).alias("volume"))
     books = table(spark, sf_dir, "goodreads_books").where("work_id is not null").select(F.col("work_id").alias("id"), "title", "title_without_series", "description", "authors")
-    editions = _exploded(books.select("id", "title_without_series").distinct(), title=_title_words(F.col("title_without_series")))
-    names = _exploded(books.select("id", "description").distinct(), name=_text_names(F.col("description")))
+    editions = _exploded(books.select("id", "title_without_series"), title=_title_words(F.col("title_without_series")))
+    names = _exploded(books.select("id", "description"), name=_text_names(F.col("description")))
     people = books.select("id", F.explode("authors.author_id").alias("author_id")).distinct().join(table(spark, sf_dir, "author_id_names").select("author_id", "name"), "author_id")
     persons = _exploded(people.select("id", "name"), person=_title_words(F.col("name")))
     right = editions.unionByName(names).unionByName(persons)
