@@ -168,9 +168,9 @@ def _exploded(df: DataFrame, **attributes) -> DataFrame:
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     year_of = lambda c: F.regexp_extract(c, r"(?<!\d)(1[5-9]\d\d|20[0-2]\d)(?!\d)", 1)
-    wiki = table(spark, sf_dir, "booksummaries").where("wiki_id is not null").groupBy(F.col("wiki_id").alias("id")).agg(F.max(F.struct("summary", "title", "author", "pub_date")).alias("r")).select("id", "r.*")
+    wiki = table(spark, sf_dir, "booksummaries").where("wiki_id is not null").select(F.col("wiki_id").alias("id"), "summary", "title", "author", "pub_date")
     left = _exploded(wiki, title=_title_words(F.col("title")), person=_title_words(F.col("author")), name=_text_names(F.col("summary")))
-    left_info = wiki.select("id", F.when(year_of("pub_date") != "", year_of("pub_date")).cast("int").alias("year"), _volume(F.col("title")).alias("volume"))
+    left_info = wiki.select("id", F.when(year_of("pub_date") != "", year_of("pub_date")).cast("int").alias("year"), _volume(F.col("title")).alias("volume")).groupBy("id").agg(F.max("year").alias("year"), F.max("volume").alias("volume"))
     books = table(spark, sf_dir, "goodreads_books").where("work_id is not null").select(F.col("work_id").alias("id"), "title", "title_without_series", "description", "authors")
     editions = _exploded(books.select("id", "title_without_series"), title=_title_words(F.col("title_without_series")))
     names = _exploded(books.select("id", "description"), name=_text_names(F.col("description")))
