@@ -7,15 +7,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 
 def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Average ranks of a column without a window over all rows: counts by value, then sums.
+    """Average ranks of a column: values are counted, laid out in ranges and summed up.
 
-    Distinct values are summed up in order; the table of values is what is sorted.
+    Ranks run within a range; what stands before a range is a sum over one row a range, so
+    no task has to hold all values. Rows without a value get no rank.
     """
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(col, (before + (F.col("_n") + 1) / 2).alias(out))
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    laid = cut(counts.repartitionByRange(col).withColumn("_p", F.spark_partition_id()))
+    starts = laid.groupBy("_p").agg(F.sum("_n").alias("_t")).withColumn("_start", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = laid.withColumn("_before", inside).join(F.broadcast(starts), "_p").select(col, (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, col)
 
 

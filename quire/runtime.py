@@ -38,7 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quire_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables made by :func:`cut` that nothing still to run reads."""
+    for t in tables:
+        _remove(t.sparkSession, t._quire_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
