@@ -150,6 +150,19 @@ def test_matching_needs_more_than_a_title(spark):
     assert pairs == {(1000 + i, i) for i in range(30)}
 
 
+def test_matching_does_not_depend_on_the_tables(spark, monkeypatch):
+    from quire.operators import matching
+
+    monkeypatch.setattr(matching, "MAX_SIGN_BITS", -1)  # the tables lose every pair, as some do in a large input
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    books = [(i, {"title": [word(), word()], "person": [word()] if i % 3 else [], "name": [word() for _ in range(3)]}) for i in range(60)]
+    wiki = [(1000 + i, {"title": b["title"] + ["extra"] * (i % 2), "person": b["person"], "name": b["name"][:2] if i < 20 else [word()]}) for i, b in books[:40]]
+    info = lambda ids, shift, col, kind: spark.createDataFrame([(i, 1990 + shift, None) for i in ids], f"id long, year int, {col} {kind}")
+    got = match_records(_side(spark, wiki), _side(spark, books), info([w for w, _ in wiki], 2, "volume", "string"), info([b for b, _ in books], 0, "volumes", "array<string>"), min_confidence=0.2)
+    assert {(r["left_id"], r["right_id"]) for r in got.collect()} == {(1000 + i, i) for i in range(40)}
+
+
 def test_matching_of_an_empty_side(spark):
     books = _side(spark, [(1, {"title": ["a"]})])
     info = spark.createDataFrame([], "id long, year int, volume string")
