@@ -79,6 +79,22 @@ def majority_names(spark, sf_dir):
     return votes.join(most, "author_id").where("votes = most").groupBy("author_id").agg(F.min("name").alias("name"), F.max("votes").alias("votes"))
 
 
+@query("majority_names_zipped", f"""with c as (select id, max(authors) as authors from goodreads_columns group by id),
+z as (select book_id, list_transform(max(authors), lambda a: a.author_id) as ids from goodreads_books where book_id is not null group by book_id),
+nm as (select book_id, ids, list_filter(list_transform(regexp_split_to_array(authors, '\\s*[,/&]\\s*| and '), lambda x: {_TIDY.format(c='x')}), lambda x: x <> '') as names from z join c on book_id = id),
+zip as (select unnest(ids) as author_id, unnest(names) as name from nm where len(ids) = len(names)),
+n as (select author_id, name, count(*) as votes from zip group by all)
+select author_id, min(name) filter (where votes = most) as name, max(votes) as votes from (select *, max(votes) over (partition by author_id) as most from n) group by author_id""")
+def majority_names_zipped(spark, sf_dir):
+    """The commonest name of each author id, from all books whose id and name lists have equal length, paired by position."""
+    ids = table(spark, sf_dir, "goodreads_books").where("book_id is not null").groupBy("book_id").agg(F.max("authors").alias("authors")).select("book_id", F.col("authors.author_id").alias("ids"))
+    names = table(spark, sf_dir, "goodreads_columns").groupBy(F.col("id").alias("book_id")).agg(F.max("authors").alias("authors")).select("book_id", F.transform(T.author_list(F.col("authors")), T.collapse).alias("names"))
+    pairs = ids.join(names, "book_id").where("size(ids) = size(names)").select(F.explode(F.arrays_zip("ids", "names")).alias("z")).select(F.col("z.ids").alias("author_id"), F.col("z.names").alias("name"))
+    votes = pairs.groupBy("author_id", "name").agg(F.count(F.lit(1)).alias("votes"))
+    most = votes.groupBy("author_id").agg(F.max("votes").alias("most"))
+    return votes.join(most, "author_id").where("votes = most").groupBy("author_id").agg(F.min("name").alias("name"), F.max("votes").alias("votes"))
+
+
 def known_names(spark, sf_dir):
     """The dictionary of names, from the author table and the popular books."""
     keys = table(spark, sf_dir, "author_id_names").select(F.array_join(T.name_tokens(F.col("name")), " ").alias("key")).where(F.size(F.split("key", " ")).between(2, 4))
