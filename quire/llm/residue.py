@@ -10,21 +10,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from .residue_rules import may_hold_residue, segment_label
-
-#: SimHash bits are cut into this many blocks, one table each; two fingerprints that differ
-#: in fewer bits than there are blocks share a block for certain.
-TABLES = 6
-BITS = 64
+from .residue_rules import may_hold_residue, segment_match
 
 #: Limits of the check that follows a table hit.
 MAX_HAMMING = 12
 MIN_SIMILARITY = 0.8
 
+#: SimHash bits are cut into this many blocks, one table each; two fingerprints that differ
+#: in fewer bits than there are blocks share a block for certain.
+TABLES = MAX_HAMMING + 1
+BITS = 64
+
 #: A placeholder inside a sentence condemns its record but is no pattern for others:
 #: a label is trusted for propagation when the rule covers this share of the segment.
 TRUSTED_COVER = 0.4
 
+#: Share of what the rule matched (its runs of four characters) that a near-duplicate must keep:
+#: a sentence that a message was pasted into is no copy of the message once that is gone.
+MIN_CORE = 0.5
+
 SEGMENT = re.compile(r"(?<=[.!?…])\s+|\n+|<br ?/?>")
 _VARIABLE = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b|\d+")
 _NAME = re.compile(r"(?<=\S )[A-ZÀ-Þ][\w’'-]+")
@@ -61,18 +65,38 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     return out
 
 
+def grams(text: str) -> set[str]:
+    """The different runs of four characters."""
+    return {text[i : i + 4] for i in range(max(1, len(text) - 3))}
+
+
 def similarity(a: str, b: str) -> float:
     """Jaccard similarity of the runs of four characters."""
-    x = {a[i : i + 4] for i in range(max(1, len(a) - 3))}
-    y = {b[i : i + 4] for i in range(max(1, len(b) - 3))}
+    x, y = grams(a), grams(b)
     return len(x & y) / len(x | y)
 
 
-def table_keys(hashes: np.ndarray) -> np.ndarray:
-    """The block of each table with the table's number, as one integer."""
+def keeps_core(seg: str, core: str) -> bool:
+    """Whether a segment still has most of what the rule matched in the segment it resembles."""
+    wanted = grams(core)
+    return len(wanted & grams(seg)) >= MIN_CORE * len(wanted)
+
+
+def size_classes(texts: list[str]) -> np.ndarray:
+    """A class for the number of different runs of four characters of each text.
+
+    Texts of similarity ``MIN_SIMILARITY`` are in the same class or in neighbouring ones.
+    """
+    sizes = np.array([len(grams(t)) for t in texts], dtype=float)
+    return np.floor(np.log(sizes) / np.log(1.0001 / MIN_SIMILARITY)).astype(np.int32)
+
+
+def table_slots(hashed: DataFrame, reach: int) -> DataFrame:
+    """``slot, hash``: the slots of each fingerprint, in its own size class and ``reach`` to each side."""
     width = -(-BITS // TABLES)
-    keys = [((hashes >> np.uint64(t * width)) & np.uint64((1 << width) - 1)) | np.uint64(t << 32) for t in range(TABLES)]
-    return np.stack(keys, axis=1).astype(np.int64)
+    block = lambda t: F.shiftrightunsigned("hash", t * width).bitwiseAND(F.lit((1 << width) - 1))
+    slots = [block(t) + F.lit(t << width) + (F.col("size") + d + 1).cast("bigint") * (TABLES << width) for t in range(TABLES) for d in range(-reach, reach + 1)]
+    return hashed.select("hash", "size").distinct().select(F.explode(F.array(*slots)).alias("slot"), "hash")
 
 
 def residue_segments(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -99,48 +123,45 @@ def residue_segments(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for s in SEGMENT.split(text):
                     if not s or s.isspace():
                         continue
-                    label = segment_label(s) if check else None
-                    family, cover = label or (None, 0.0)
-                    rows.append((key, masked(s), family, bool(label) and (cover >= TRUSTED_COVER or family == "message"), s[:200] if label else None))
+                    family, core = (check and segment_match(s)) or (None, "")
+                    trusted = family is not None and (len(core) / max(1, len(s.strip())) >= TRUSTED_COVER or family == "message")
+                    rows.append((key, masked(s), family, masked(core) if trusted else None, s[:200] if family else None))
             columns = list(zip(*rows)) or [[]] * 5
-            kinds = [batch.schema.field(0).type, pa.string(), pa.string(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "seg", "family", "trusted", "evidence"])
+            kinds = [batch.schema.field(0).type, *[pa.string()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "seg", "family", "core", "evidence"])
 
-    segments = cut(records.mapInArrow(cut_segments, f"id {kind}, seg string, family string, trusted boolean, evidence string"))
+    segments = cut(records.mapInArrow(cut_segments, f"id {kind}, seg string, family string, core string, evidence string"))
     ruled = segments.where("family is not null").select("id", "family", F.lit("rule").alias("via"), "evidence")
-    distinct = segments.where("length(seg) >= 8").groupBy("seg").agg(F.max(F.when(F.col("trusted"), F.col("family"))).alias("family"), F.max(F.col("family").isNotNull()).alias("ruled"))
+    distinct = segments.where("length(seg) >= 8").groupBy("seg").agg(F.max(F.when(F.col("core").isNotNull(), F.struct("family", "core"))).alias("label"), F.max(F.col("family").isNotNull()).alias("ruled")).select("seg", "label.family", "label.core", "ruled")
 
-    def tables(batches):
+    def hash_segments(batches):
         for batch in batches:
-            hashes = fingerprints(batch.column(0).to_pylist())
-            n = len(hashes)
-            rows = pa.array(np.repeat(np.arange(n), TABLES))
-            keys = table_keys(hashes).reshape(-1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(keys), pa.array(np.repeat(hashes.view(np.int64), TABLES))],
-                names=["seg", "family", "slot", "hash"],
-            )
+            segs = batch.column(0).to_pylist()
+            columns = [*batch.columns, pa.array(fingerprints(segs).view(np.int64)), pa.array(size_classes(segs))]
+            yield pa.RecordBatch.from_arrays(columns, names=["seg", "family", "core", "hash", "size"])
 
     # rows that a rule has already condemned without being trusted neither give nor take a label
-    slots = cut(distinct.where("family is not null or not ruled").select("seg", "family").mapInArrow(tables, "seg string, family string, slot bigint, hash bigint"))
-    frontier = slots.where("family is not null").select("slot", F.col("hash").alias("h"), F.col("seg").alias("source"), "family")
-    open_side = slots.where("family is null").select("slot", "hash", "seg")
+    hashed = cut(distinct.where("family is not null or not ruled").select("seg", "family", "core").mapInArrow(hash_segments, "seg string, family string, core string, hash bigint, size int"))
+    frontier = hashed.where("family is not null")
+    open_side = hashed.where("family is null").drop("family", "core")
 
     def verify(batches):
         for batch in batches:
-            segs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = pa.array([similarity(a, b) >= MIN_SIMILARITY for a, b in zip(segs, sources)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["seg", "family"]).filter(ok)
+            segs, sources, _, cores = (c.to_pylist() for c in batch.columns)
+            ok = pa.array([keeps_core(a, c) and similarity(a, b) >= MIN_SIMILARITY for a, b, c in zip(segs, sources, cores)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:]], names=["seg", "family", "core"]).filter(ok)
 
     reached = None
     while True:
         near = F.bit_count(F.col("hash").bitwiseXOR(F.col("h"))) <= MAX_HAMMING
-        hits = open_side.join(frontier, "slot").where(near).groupBy("seg", "source").agg(F.min("family").alias("family"))
-        fresh = cut(hits.select("seg", "source", "family").mapInArrow(verify, "seg string, family string").groupBy("seg").agg(F.min("family").alias("family")))
+        met = table_slots(open_side, 0).join(table_slots(frontier, 1).withColumnRenamed("hash", "h"), "slot").where(near).select("hash", "h").distinct()
+        sources = frontier.select(F.col("hash").alias("h"), F.col("seg").alias("source"), "family", "core")
+        hits = open_side.join(met, "hash").join(sources, "h").select("seg", "source", "family", "core")
+        fresh = cut(hits.mapInArrow(verify, "seg string, family string, core string").groupBy("seg").agg(F.min(F.struct("family", "core")).alias("label")).select("seg", "label.family", "label.core"))
         if fresh.isEmpty():
             break
         reached = fresh if reached is None else reached.unionByName(fresh)
-        frontier = open_side.join(fresh, "seg").select("slot", F.col("hash").alias("h"), F.col("seg").alias("source"), "family")
+        frontier = open_side.join(fresh, "seg")
         open_side = open_side.join(fresh, "seg", "left_anti")
     if reached is None:
         return ruled

@@ -153,13 +153,19 @@ def may_hold_residue(text: str) -> bool:
     return any(a == b for a, b in zip(words, words[1:])) or sum(w in lower for w in _STEM_SIGNS) >= 3
 
 
-def segment_label(segment: str) -> tuple[str, float] | None:
-    """Family of a residue segment and the share of it that the pattern covers."""
+def segment_match(segment: str) -> tuple[str, str] | None:
+    """Family of a residue segment and the part of it that the pattern matched."""
     for name, patterns in _COMPILED.items():
         for p in patterns:
             m = p.search(segment)
             if m:
-                return name, (m.end() - m.start()) / max(1, len(segment.strip()))
+                return name, m.group()
     if keyboard_noise(segment) or latin_filler(segment):
-        return "filler", 1.0
+        return "filler", segment.strip()
     return None
+
+
+def segment_label(segment: str) -> tuple[str, float] | None:
+    """Family of a residue segment and the share of it that the pattern covers."""
+    found = segment_match(segment)
+    return found and (found[0], len(found[1]) / max(1, len(segment.strip())))

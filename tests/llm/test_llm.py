@@ -58,6 +58,36 @@ def test_fingerprints_are_near_for_near_texts():
     assert bin(int(a) ^ int(b)).count("1") < 12 < bin(int(a) ^ int(c)).count("1")
 
 
+def test_spread_reaches_every_pair_within_its_limits(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuw") for _ in range(rng.randint(3, 9)))
+    data, near = [], set()
+    for k in range(150):
+        seg = "Please enable JavaScript to view " + " ".join(word() for _ in range(rng.randint(4, 9)))
+        varied = list(seg.replace("enable JavaScript", "enaple JavaScrjpt"))
+        for _ in range(rng.randint(0, 3)):
+            varied[rng.randrange(35, len(varied))] = rng.choice("abcdefg")
+        varied = "".join(varied)
+        data += [(2 * k, seg + "."), (2 * k + 1, varied + ".")]
+    masks = {i: residue.masked(t) for i, t in data}
+    prints = dict(zip(masks, residue.fingerprints(list(masks.values()))))
+    trusted = [i for i in masks if i % 2 == 0]
+    alike = lambda i, j: bin(int(prints[i]) ^ int(prints[j])).count("1") <= residue.MAX_HAMMING and residue.similarity(masks[i], masks[j]) >= residue.MIN_SIMILARITY
+    assert all(segment_label(t) is None for i, t in data if i % 2)
+    near, reached = {i for i in masks if i % 2 and any(alike(i, j) for j in trusted)}, set()
+    while near - reached:  # the labels spread on
+        reached |= near
+        near = {i for i in masks if i % 2 and i not in reached and any(alike(i, j) for j in reached)}
+    got = {r["k"] for r in residue.find_residue(spark.createDataFrame(data, "k int, t string"), "k", "t").collect()}
+    assert len(reached) > 20 and got == reached | set(trusted)
+
+
+def test_a_sentence_without_the_pasted_message_is_no_copy_of_it(spark):
+    sentence = "Per Brabeil, la chiave arrugginita vale più di ogni altra cosa, e questo cambierà tutto."
+    df = spark.createDataFrame([(1, "500 Unexpected server error " + sentence), (2, sentence), (3, "/ " + sentence)], "k int, t string")
+    assert [r["k"] for r in residue.find_residue(df, "k", "t").collect()] == [1]
+
+
 # --- languages ---
 
 SAMPLES = {
