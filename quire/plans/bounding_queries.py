@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bounding, cleaning
-from .corpus_queries import _NORM, _ROWS_SQL, matched_pairs
+from ..operators import bounding, cleaning, keyness
+from .corpus_queries import _NORM, _ROWS_SQL, matched_pairs, pair_tokens
 from .registry import query
 from .text_queries import BOOKS_SQL, records
 
@@ -98,11 +100,17 @@ def publication_names(spark, sf_dir):
     return found.select("book_id", bounding.strip_publications(F.col("description")).alias("text"))
 
 
+def register_map(spark, sf_dir):
+    """The register weights as one map; words of enough occurrences are few, so it is a constant of the plan."""
+    weights = {r["word"]: r["weight"] for r in keyness.register_weights(pair_tokens(spark, sf_dir)).collect()}
+    return F.from_json(F.lit(json.dumps(weights)), "map<string,double>")
+
+
 @query("plot_overlap")
 def plot_overlap(spark, sf_dir):
     """Jaccard overlap with the summary before and after bounding, for the matched pairs."""
     pairs = matched_pairs(spark, sf_dir)
-    after = bounding.bound(pairs, "wiki_id", "description").select("wiki_id", "bounded", "fallback")
+    after = bounding.bound(pairs, "wiki_id", "description", _repeated(spark, sf_dir), register_map(spark, sf_dir)).select("wiki_id", "bounded", "fallback")
     jaccard = lambda a, b: F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
     s, d, b = (T.content_words(F.col(c)) for c in ("summary", "description", "bounded"))
     return pairs.join(after, "wiki_id").select("wiki_id", F.round(jaccard(d, s), 6).alias("before"), F.round(jaccard(b, s), 6).alias("after"), "fallback")
