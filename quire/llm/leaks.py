@@ -9,6 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..runtime import cut
 
 #: A passage counts from this many words, or as a whole when the item is shorter.
 MIN_WORDS = 30
@@ -16,11 +19,14 @@ MIN_WORDS = 30
 #: One word in this many may be changed, added or dropped.
 WORDS_PER_EDIT = 8
 
-#: Words of a piece; see :class:`Items` for why a passage always keeps such pieces whole.
+#: Words of a piece; see :class:`Items` for why a passage always keeps one whole.
 PIECE = 5
 
-#: The set of held-out items is broadcast, so its size is checked against this bound.
-MAX_ITEM_CHARS = 64_000_000
+#: Passages to look for, as words and edits: one of them stands in every longer passage.
+TARGETS = [(MIN_WORDS, MIN_WORDS // WORDS_PER_EDIT), *((m, m // WORDS_PER_EDIT) for m in (32, 40, 48, 56))]
+
+#: Characters of held-out text that travel to the tasks at once; more goes in several blocks.
+BLOCK_CHARS = 16_000_000
 
 _BLOCK = re.compile(r"</?(?:br|p|div|li|ul|ol|tr|td|th|h[1-6]|blockquote)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
@@ -49,44 +55,53 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def myers(masks: dict[int, int], m: int, words: list[int], most: int) -> bool:
-    """Whether a pattern of ``m`` words occurs in ``words`` with at most ``most`` edits.
+def prefix_costs(pattern: list[int], words: list[int]) -> np.ndarray:
+    """For every length j of a prefix of the pattern its least distance to a prefix of ``words``.
 
-    Myers' bit-parallel recurrence over words: bit j of the vertical vectors belongs to
-    pattern word j, the pattern may start and end anywhere in the words.
+    Myers' bit-parallel recurrence over words, held at the first word of both: bit j of the
+    vertical vectors says whether the distance rises or falls from pattern word j to the next.
     """
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score = full, 0, m
+    m = len(pattern)
+    least = np.arange(m + 1)
+    if not m:
+        return least
+    masks: dict[int, int] = {}
+    for j, w in enumerate(pattern):
+        masks[w] = masks.get(w, 0) | 1 << j
+    full = (1 << m) - 1
+    pv, mv, ups, downs = full, 0, [], []
     for w in words:
         eq = masks.get(w, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = (mv | ~(xh | pv)) & full
-        mh = pv & xh
-        if ph & top:
-            score += 1
-        elif mh & top:
-            score -= 1
-        if score <= most:
-            return True
-        ph = (ph << 1) & full
-        mh = (mh << 1) & full
+        ph = ((mv | ~(xh | pv)) << 1 | 1) & full
+        mh = ((pv & xh) << 1) & full
         pv = (mh | ~(xv | ph)) & full
         mv = ph & xv
-    return False
+        ups.append(pv)
+        downs.append(mv)
+    if ups:
+        bits = np.arange(m, dtype=np.uint64)
+        steps = [((np.array(v, dtype=np.uint64)[:, None] >> bits) & np.uint64(1)).astype(np.int64) for v in (ups, downs)]
+        costs = np.arange(1, len(ups) + 1)[:, None] + np.cumsum(steps[0] - steps[1], axis=1)
+        least[1:] = np.minimum(least[1:], costs.min(axis=0))
+    return least
 
 
 class Items:
-    """The held-out texts, cut into overlapping pieces of equal length.
+    """The held-out texts, cut into pieces by the pigeonhole principle.
 
-    An occurrence of m item words with e edits leaves m - e words in e + 1 runs, so it
-    keeps at least m - q + 1 - q * e of its pieces of q words whole. For m >= 30 and
-    e <= m / 8 that is at least ``8`` with q = 5, all on nearby diagonals; for shorter
-    items q is chosen so that one piece must survive.
+    A text of fewer than ``MIN_WORDS`` words with an allowance of e edits is cut into e + 1
+    pieces, of which an occurrence keeps one whole. Longer texts are cut every ``PIECE``
+    words: each of the passages in ``TARGETS`` holds at least one piece more than it may
+    have edits, wherever it begins. Longer passages need no look of their own: their
+    allowance grows by one every eight words, so one of the parts of 32 to 56 words they
+    divide into keeps within its own.
     """
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.ids, self.words, self.code, self.pieces = [], [], {}, {}
+    def __init__(self, rows: list[tuple]):
+        self.ids, self.words, self.code = [], [], {}
+        pieces: dict[int, list[tuple[int, int]]] = {}
         for key, text in rows:
             words = words_of(text or "")
             if not words:
@@ -95,12 +110,19 @@ class Items:
             self.ids.append(key)
             self.words.append([self.code.setdefault(w, len(self.code) + 1) for w in words])
             n = len(words)
-            edits = n // WORDS_PER_EDIT
-            q = PIECE if n >= MIN_WORDS else max(1, min(PIECE, (n - edits) // (edits + 1)))
-            for p in range(n - q + 1):
-                self.pieces.setdefault(q, []).append((k, p))
+            if n < MIN_WORDS:
+                parts = n // WORDS_PER_EDIT + 1
+                begins = [i * n // parts for i in range(parts)]
+                for a, b in zip(begins, [*begins[1:], n]):
+                    # of a longer piece its first words are looked up
+                    pieces.setdefault(min(PIECE, b - a), []).append((k, a))
+            else:
+                pieces.setdefault(PIECE, []).extend((k, a) for a in range(0, n - PIECE + 1, PIECE))
+        # different words that any passage of an item still has after its edits
+        self.sets = [frozenset(w) for w in self.words]
+        self.distinct = [min(len(set(w[s : s + m])) - e for m, e in self.targets(k) for s in range(len(w) - m + 1)) for k, w in enumerate(self.words)]
         self.keys = {}
-        for q, at in self.pieces.items():
+        for q, at in pieces.items():
             grams = np.array([self.words[k][p : p + q] for k, p in at], dtype=np.uint64)
             key = grams[:, 0].copy()
             for j in range(1, q):
@@ -113,42 +135,32 @@ class Items:
             self.keys[q] = (values, first, count, where, seen)
 
     def targets(self, k: int) -> list[tuple[int, int]]:
-        """Lengths to look for and their edits: where the allowance grows, and the least length."""
+        """Lengths of the passages to look for, with their edits."""
         n = len(self.words[k])
-        if n < MIN_WORDS:
-            return [(n, n // WORDS_PER_EDIT)]
-        first = -(-MIN_WORDS // WORDS_PER_EDIT) * WORDS_PER_EDIT
-        return [(MIN_WORDS, MIN_WORDS // WORDS_PER_EDIT)] + [(m, m // WORDS_PER_EDIT) for m in range(first, n + 1, WORDS_PER_EDIT)]
-
-    def verify(self, k: int, words: list[int], hits: list[tuple[int, int]], q: int) -> bool:
-        """Whether item k occurs, given its piece hits ``(item position, diagonal)``."""
-        mine, n = self.words[k], len(self.words[k])
-        hits = sorted(set(hits))
-        at = np.array([p for p, _ in hits])
-        diagonals = np.array([d for _, d in hits])
-        for m, edits in self.targets(k):
-            least = max(1, m - q + 1 - q * edits)
-            tried: set[tuple[int, int]] = set()
-            if len(hits) < least:
-                continue
-            for d in np.unique(diagonals):
-                near = np.unique(at[(diagonals >= d) & (diagonals <= d + edits)])
-                if len(near) < least:
-                    continue
-                # windows of m item words that hold enough of these pieces
-                lo = np.searchsorted(near, np.arange(n - m + 1), "left")
-                hi = np.searchsorted(near, np.arange(n - m + 1) + m - q, "right")
-                for s in np.flatnonzero(hi - lo >= least):
-                    a, b = max(0, s + d - edits), s + d + m + 2 * edits
-                    if (s, d // (edits + 1)) in tried:
-                        continue
-                    masks: dict[int, int] = {}
-                    for j, w in enumerate(mine[s : s + m]):
-                        masks[w] = masks.get(w, 0) | 1 << j
-                    if myers(masks, m, words[a:b], edits):
-                        return True
-                    if a == s + d - edits:
-                        tried.add((s, d // (edits + 1)) if edits == 0 else (s, d))
+        return [(n, n // WORDS_PER_EDIT)] if n < MIN_WORDS else [(m, e) for m, e in TARGETS if m <= n]
+
+    def verify(self, k: int, words: list[int], p: int, x: int, q: int) -> bool:
+        """Whether a passage of item k stands around its piece of ``q`` words at ``p``, found whole at word ``x``.
+
+        The words before and after the piece are held against the document by Myers'
+        distance, for all lengths at once; a passage may take any number of each.
+        """
+        mine, targets = self.words[k], self.targets(k)
+        reach, most = targets[-1]
+        a, b = max(0, p + q - reach), min(len(mine), p + reach)
+        near = set(words[max(0, x - reach - most) : x + q + reach + most])
+        if len(near & self.sets[k]) < self.distinct[k]:
+            return False
+        # a passage has all but its edits among the words nearby
+        held = np.concatenate([[0], np.cumsum([w in near for w in mine[a:b]])])
+        if not any(m <= b - a and (held[m:] - held[:-m] >= m - e).any() for m, e in targets):
+            return False
+        after = prefix_costs(mine[p + q : b], words[x + q : x + q + reach + most])
+        before = prefix_costs(mine[a:p][::-1], words[max(0, x - reach - most) : x][::-1])
+        for m, e in targets:
+            left = np.arange(max(0, m - q - len(after) + 1), min(len(before), m - q + 1))
+            if len(left) and (before[left] + after[m - q - left]).min() <= e:
+                return True
         return False
 
 
@@ -188,25 +200,8 @@ def leaks_in(texts: list[str | None], items: Items) -> list[tuple[int, int]]:
         spread = np.repeat(np.arange(len(at)), times)
         inner = np.arange(len(spread)) - np.repeat(np.cumsum(times) - times, times)
         item_at = where[first[slot][spread] + inner]
-        item, pos = item_at[:, 0], item_at[:, 1]
-        doc_s, diag = doc[spread], (at - begins[doc])[spread] - pos
-        order = np.lexsort((diag, item, doc_s))
-        doc_s, item, pos, diag = doc_s[order], item[order], pos[order], diag[order]
-        pair = doc_s * len(items.ids) + item
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(pair)) + 1, [len(pair)]])
-        sizes = np.diff(cuts)
-        lengths = np.array([len(w) for w in items.words])
-        least = np.where(lengths >= MIN_WORDS, max(1, MIN_WORDS + 2 - q + 1 - q * 4), 1)
-        for i in np.flatnonzero(sizes >= least[item[cuts[:-1]]]):
-            a, b = cuts[i], cuts[i + 1]
-            d, k = int(doc_s[a]), int(item[a])
-            need = int(least[k])
-            # enough pieces within a band of diagonals as wide as the edits allow
-            band = diag[a:b]
-            reach = max(lengths[k] // WORDS_PER_EDIT, 0)
-            if need > 1 and not ((band[need - 1 :] - band[: b - a - need + 1]) <= reach).any():
-                continue
-            if items.verify(k, flat[begins[d] : ends[d]], list(zip(pos[a:b].tolist(), band.tolist())), q):
+        for d, x, k, p in zip(doc[spread].tolist(), (at - begins[doc])[spread].tolist(), *item_at.T.tolist()):
+            if (d, k) not in found and items.verify(k, flat[begins[d] : ends[d]], p, x, q):
                 found.add((d, k))
     return sorted(found)
 
@@ -219,6 +214,7 @@ def find_leaks(
     item_id: str,
     item_text: str,
     slice_chars: int = 2_000_000,
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """Pairs of an item and a document that holds a passage of it.
 
@@ -226,34 +222,43 @@ def find_leaks(
     at most one word in eight changed, added or dropped; case, punctuation, spacing, line
     breaks, quoting and markup do not matter. Pigeonhole pieces of the items are looked up
     at every word of every document and a passage is confirmed with Myers' bit-parallel
-    distance. The held-out set is a stated query set of checked size and travels to the
-    tasks; the corpus is read once and never shuffled.
+    distance. The held-out set is a stated query set: it travels to the tasks, in blocks of
+    about ``block_chars`` characters where it is larger, and every block meets the whole
+    corpus, which is never shuffled.
 
-    Null and empty texts hold nothing, items without words are found nowhere; repeated
-    documents or items give one row for each pair of ids. Other columns are ignored.
+    Ids keep their type, whatever it is; a null id is an id. Null and empty texts hold
+    nothing, items without words are found nowhere; repeated documents or items give one
+    row for each pair of ids. Other columns are ignored.
     """
     total = held_out.select(F.sum(F.length(item_text)).alias("n")).first()["n"] or 0
-    if total > MAX_ITEM_CHARS:
-        raise ValueError(f"the held-out set has {total} characters; at most {MAX_ITEM_CHARS} can be broadcast")
-    rows = [(r[0], r[1]) for r in held_out.select(item_id, item_text).distinct().collect()]
-    spark = docs.sparkSession
-    items = spark.sparkContext.broadcast(Items(rows))
+    blocks = -(-total // block_chars) or 1
+    types = [to_arrow_type(held_out.schema[item_id].dataType), to_arrow_type(docs.schema[doc_id].dataType)]
     kinds = [held_out.schema[item_id].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString()]
+    out_names = [item_id, doc_id] if item_id != doc_id else [item_id, f"{doc_id}_2"]
+    texts = held_out.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).distinct()
+    found = None
+    for block in range(blocks):
+        mine = texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
+        items = docs.sparkSession.sparkContext.broadcast(Items([(r["id"], r["text"]) for r in mine.collect()]))
+
+        def run(batches, items=items):
+            own = items.value
+            for batch in batches:
+                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                out, i = [], 0
+                while i < len(texts):
+                    j, size = i, 0
+                    while j < len(texts) and (j == i or size < slice_chars):
+                        size += len(texts[j] or "")
+                        j += 1
+                    out += [(own.ids[k], keys[i + d]) for d, k in leaks_in(texts[i:j], own)]
+                    i = j
+                columns = zip(*out) if out else ([], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=out_names)
 
-    def run(batches):
-        own = items.value
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out, i = [], 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size < slice_chars):
-                    size += len(texts[j] or "")
-                    j += 1
-                out += [(own.ids[k], keys[i + d]) for d, k in leaks_in(texts[i:j], own)]
-                i = j
-            left, right = zip(*out) if out else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, batch.schema.field(0).type)], names=[item_id, doc_id])
-
-    pairs = docs.select(doc_id, doc_text).mapInArrow(run, f"{item_id} {kinds[0]}, {doc_id} {kinds[1]}")
-    return pairs.distinct()
+        pairs = docs.select(doc_id, doc_text).mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(out_names, kinds)))
+        if blocks > 1:  # one block at a time is held
+            pairs = cut(pairs)
+            items.destroy()
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()

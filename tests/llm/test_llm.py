@@ -190,6 +190,62 @@ def test_leaks_ignore_markup_case_and_line_breaks(spark):
     assert [tuple(r) for r in leaks.find_leaks(docs, "doc", "t", held, "item_id", "t").collect()] == [(7, 1)]
 
 
+@pytest.mark.parametrize("copies", range(30, 60))
+def test_a_verbatim_copy_after_a_part_of_itself_is_found(copies):
+    item = [f"w{i}" for i in range(30)]
+    doc = [f"f{i}" for i in range(10)] + item[:15] + [f"g{i}" for i in range(copies - 25)] + item
+    assert leaks.leaks_in([" ".join(doc)], leaks.Items([(0, " ".join(item))])) == [(0, 0)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_several_edited_copies_agree_with_brute_force(seed):
+    rng = random.Random(100 + seed)
+    vocab = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 7, 16, 29, 30, 47, 70, 90])))) for i in range(5)]
+    own = leaks.Items(items)
+    docs = []
+    for _ in range(12):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            part = items[rng.randrange(5)][1].split()
+            s = rng.randint(0, len(part) // 2)
+            part = part[s : s + rng.randint(1, 60)]
+            for _ in range(rng.randint(0, len(part) // 6)):
+                p = rng.randrange(len(part))
+                part[p : p + 1] = rng.choice([[], ["zz"], [part[p], "yy"]])
+                part = part or ["zz"]
+            words += [rng.choice(vocab) for _ in range(rng.randint(0, 6))] + part
+        docs.append(" ".join(words))
+    found = set(leaks.leaks_in(docs, own))
+
+    def cheapest(pattern, words):  # the least distance to any stretch of the words
+        row = [0] * (len(words) + 1)
+        for x in pattern:
+            prev, row = row, [row[0] + 1]
+            for j, y in enumerate(words):
+                row.append(min(prev[j] + (x != y), prev[j + 1] + 1, row[-1] + 1))
+        return min(row)
+
+    for d, text in enumerate(docs):
+        words = text.split()
+        for k, (_, item) in enumerate(items):
+            p = item.split()
+            want = any(cheapest(p[s : s + m], words) <= m // 8 for m in range(min(30, len(p)), len(p) + 1) for s in range(len(p) - m + 1))
+            assert ((d, k) in found) == want, (d, k)
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "bigint", "date"])
+def test_leaks_keep_the_types_of_ids_and_work_in_blocks(spark, kind):
+    items = [" ".join(f"v{k}x{i}" for i in range(35)) for k in range(5)]
+    held = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "id int, t string")
+    docs = spark.createDataFrame([(i, "so " + t) for i, t in enumerate(items)] + [(9, "none")], "id int, t string")
+    cast = "date_add(date'2020-01-01', id)" if kind == "date" else f"cast(id as {kind})"
+    held, docs = held.selectExpr(f"{cast} item", "t"), docs.selectExpr(f"{cast} doc", "t", "t as item")
+    got = leaks.find_leaks(docs, "doc", "t", held, "item", "t", block_chars=300)
+    assert got.dtypes == [("item", kind), ("doc", kind)]
+    assert sorted(map(str, (r[0] for r in got.collect()))) == sorted(map(str, (r[1] for r in got.collect()))) and got.count() == 5
+
+
 # --- splitting and packing ---
 
 
