@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -10,19 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from .residue_rules import may_hold_residue, segment_match
+from .residue_rules import record_matches
 
-#: Limits of the check that follows a table hit.
-MAX_HAMMING = 12
+#: Limits of the check that follows a table hit. Texts of 40 to 80 characters with one to three
+#: characters changed, whose similarity is 0.8 or more, differ in at most 16 bits in 998 of 1000 cases.
+MAX_HAMMING = 16
 MIN_SIMILARITY = 0.8
 
-#: SimHash bits are cut into this many blocks, one table each; two fingerprints that differ
-#: in fewer bits than there are blocks share a block for certain.
-TABLES = MAX_HAMMING + 1
 BITS = 64
 
 #: A placeholder inside a sentence condemns its record but is no pattern for others:
-#: a label is trusted for propagation when the rule covers this share of the segment.
+#: a label is trusted for propagation when the rule covers this share of the segment or is one
+#: of a system's own messages.
 TRUSTED_COVER = 0.4
 
 #: Share of what the rule matched (its runs of four characters) that a near-duplicate must keep:
@@ -32,11 +33,14 @@ MIN_CORE = 0.5
 SEGMENT = re.compile(r"(?<=[.!?…])\s+|\n+|<br ?/?>")
 _VARIABLE = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b|\d+")
 _NAME = re.compile(r"(?<=\S )[A-ZÀ-Þ][\w’'-]+")
-_SPACE = re.compile(r"\W+")
+_SPACE = re.compile(r"\s+")
 
 
 def masked(segment: str) -> str:
-    """A segment without what varies between copies of a message: numbers and names."""
+    """A segment without what varies between copies of a message: numbers and names.
+
+    Signs stay: a name in braces is a template's field, the name alone is a word.
+    """
     return _SPACE.sub(" ", _NAME.sub("N", _VARIABLE.sub("0", segment))).strip().lower()
 
 
@@ -91,22 +95,55 @@ def size_classes(texts: list[str]) -> np.ndarray:
     return np.floor(np.log(sizes) / np.log(1.0001 / MIN_SIMILARITY)).astype(np.int32)
 
 
-def table_slots(hashed: DataFrame, reach: int) -> DataFrame:
-    """``slot, hash``: the slots of each fingerprint, in its own size class and ``reach`` to each side."""
-    width = -(-BITS // TABLES)
-    block = lambda t: F.shiftrightunsigned("hash", t * width).bitwiseAND(F.lit((1 << width) - 1))
-    slots = [block(t) + F.lit(t << width) + (F.col("size") + d + 1).cast("bigint") * (TABLES << width) for t in range(TABLES) for d in range(-reach, reach + 1)]
-    return hashed.select("hash", "size").distinct().select(F.explode(F.array(*slots)).alias("slot"), "hash")
+def partitions(n_open: int, n_frontier: int) -> int:
+    """Into how many blocks the fingerprints are cut, one table each.
+
+    Two fingerprints that differ in at most ``MAX_HAMMING`` bits differ in at most
+    ``MAX_HAMMING // blocks`` bits of some block, so a table that is probed with all such
+    changes of the frontier's block misses none of them. Fewer, wider blocks need more
+    probes and give fewer chance meetings; which costs less depends on the two sizes, and
+    the width of a slot grows with them.
+    """
+    def cost(blocks: int) -> float:
+        width, probes = BITS // blocks, _probes(blocks)
+        return n_open * blocks + 3 * n_frontier * blocks * probes + n_open * n_frontier * blocks * probes / 2.0**width / 6
+
+    return min(range(4, MAX_HAMMING + 2), key=cost)
+
+
+def _probes(blocks: int) -> int:
+    return sum(comb(-(-BITS // blocks), k) for k in range(MAX_HAMMING // blocks + 1))
+
 
+def table_slots(hashed: DataFrame, blocks: int, probing: bool) -> DataFrame:
+    """``slot, hash``: the slots of each fingerprint in its size class.
 
-def residue_segments(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    The probing side also takes the slots of all fingerprints nearby, in its own size class
+    and in the two beside it.
+    """
+    edges = [t * BITS // blocks for t in range(blocks + 1)]
+
+    def block_slots(t: int):
+        a, b = edges[t], edges[t + 1]
+        own = F.shiftrightunsigned("hash", a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+        changes = [sum(1 << i for i in bits) for k in range(MAX_HAMMING // blocks + 1) for bits in combinations(range(b - a), k)] if probing else [0]
+        return F.transform(F.array(*[F.lit(c).cast("bigint") for c in changes]), lambda c: own.bitwiseXOR(c) + F.lit(t << 20))
+
+    slots = [block_slots(t) for t in range(blocks)]
+    placed = hashed.select("hash", "size").distinct().select("hash", F.explode(F.flatten(F.array(*slots))).alias("_s"), "size")
+    classes = F.explode(F.array(*[F.col("size") + d for d in ((-1, 0, 1) if probing else (0,))]))
+    return placed.select("hash", "_s", classes.alias("_c")).select(((F.col("_c") + 1).cast("bigint") * (1 << 25) + F.col("_s")).alias("slot"), "hash")
+
+
+def residue_segments(df: DataFrame, id_col: str, text_col: str, matches=record_matches) -> DataFrame:
     """``id, family, via, evidence`` for every residue segment of every record.
 
-    Each segment (sentence or line) is held against trusted rules. Segments that a rule
-    covers well give their label to near-duplicates: masked segments meet in partitioned
-    SimHash tables, a hit is verified by Hamming distance and text similarity, and labels
-    spread from segment to segment until no component with a trusted member grows. Only the
-    trusted side and what it reached meets the tables, never all pairs of a bucket.
+    Each segment (sentence or line) is held against trusted rules; ``evidence`` is what the
+    rule matched, or the near-duplicate segment. Segments that a rule covers well give their
+    label to near-duplicates: masked segments meet in partitioned SimHash tables, a hit is
+    verified by Hamming distance and text similarity, and labels spread from segment to
+    segment until no component with a trusted member grows. Only the trusted side and what
+    it reached probes the tables, never all pairs of a bucket.
 
     One record is one distinct non-null id (the greatest text counts where rows differ).
     Null, empty and blank texts have no segment; very long texts are cut into segments like
@@ -119,20 +156,18 @@ def residue_segments(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                check = may_hold_residue(text)
-                for s in SEGMENT.split(text):
-                    if not s or s.isspace():
-                        continue
-                    family, core = (check and segment_match(s)) or (None, "")
-                    trusted = family is not None and (len(core) / max(1, len(s.strip())) >= TRUSTED_COVER or family == "message")
-                    rows.append((key, masked(s), family, masked(core) if trusted else None, s[:200] if family else None))
+                parts = [s for s in SEGMENT.split(text) if s and not s.isspace()]
+                for s, found in zip(parts, matches(parts)):
+                    family, core, tells = found or (None, "", False)
+                    trusted = family is not None and (tells or len(core) / max(1, len(s.strip())) >= TRUSTED_COVER)
+                    rows.append((key, masked(s), family, masked(core) if trusted else None, (core or s) if family else None))
             columns = list(zip(*rows)) or [[]] * 5
             kinds = [batch.schema.field(0).type, *[pa.string()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "seg", "family", "core", "evidence"])
 
     segments = cut(records.mapInArrow(cut_segments, f"id {kind}, seg string, family string, core string, evidence string"))
     ruled = segments.where("family is not null").select("id", "family", F.lit("rule").alias("via"), "evidence")
-    distinct = segments.where("length(seg) >= 8").groupBy("seg").agg(F.max(F.when(F.col("core").isNotNull(), F.struct("family", "core"))).alias("label"), F.max(F.col("family").isNotNull()).alias("ruled")).select("seg", "label.family", "label.core", "ruled")
+    distinct = segments.groupBy("seg").agg(F.max(F.when(F.col("core").isNotNull(), F.struct("family", "core"))).alias("label"), F.max(F.col("family").isNotNull()).alias("ruled")).select("seg", "label.family", "label.core", "ruled")
 
     def hash_segments(batches):
         for batch in batches:
@@ -151,10 +186,11 @@ def residue_segments(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             ok = pa.array([keeps_core(a, c) and similarity(a, b) >= MIN_SIMILARITY for a, b, c in zip(segs, sources, cores)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:]], names=["seg", "family", "core"]).filter(ok)
 
-    reached = None
+    reached, n_open = None, open_side.count()
     while True:
+        blocks = partitions(n_open, frontier.count())
         near = F.bit_count(F.col("hash").bitwiseXOR(F.col("h"))) <= MAX_HAMMING
-        met = table_slots(open_side, 0).join(table_slots(frontier, 1).withColumnRenamed("hash", "h"), "slot").where(near).select("hash", "h").distinct()
+        met = table_slots(open_side, blocks, False).join(table_slots(frontier, blocks, True).withColumnRenamed("hash", "h"), "slot").where(near).select("hash", "h").distinct()
         sources = frontier.select(F.col("hash").alias("h"), F.col("seg").alias("source"), "family", "core")
         hits = open_side.join(met, "hash").join(sources, "h").select("seg", "source", "family", "core")
         fresh = cut(hits.mapInArrow(verify, "seg string, family string, core string").groupBy("seg").agg(F.min(F.struct("family", "core")).alias("label")).select("seg", "label.family", "label.core"))
@@ -169,9 +205,12 @@ def residue_segments(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return ruled.unionByName(spread)
 
 
-def find_residue(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row ``id, families, n_segments, via_rule, evidence`` for each record with residue."""
-    found = residue_segments(df, id_col, text_col).groupBy("id").agg(
+def find_residue(df: DataFrame, id_col: str, text_col: str, matches=record_matches) -> DataFrame:
+    """One row ``id, families, n_segments, via_rule, evidence`` for each record with residue.
+
+    ``matches`` gives the trusted label of every segment of a record, see :func:`record_matches`.
+    """
+    found = residue_segments(df, id_col, text_col, matches).groupBy("id").agg(
         F.sort_array(F.collect_set("family")).alias("families"),
         F.count(F.lit(1)).alias("n_segments"),
         F.max(F.col("via") == "rule").alias("via_rule"),

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from quire.llm import languages, leaks, packing, residue, splitting
-from quire.llm.residue_rules import keyboard_noise, may_hold_residue, segment_label
+from quire.llm.residue_rules import keyboard_noise, may_hold_residue, record_matches, segment_label
 from quire.llm.tokens import DEFAULT_VOCABULARY, counter
 
 GENUINE = [
@@ -38,6 +38,47 @@ def test_genuine_text_is_no_residue(text):
     assert not any(segment_label(s) for s in residue.SEGMENT.split(text))
 
 
+@pytest.mark.parametrize("text", [
+    "She must sign in to see the prisoners each day.", "Two cities, closed for maintenance, hide a secret.", "Are you a robot? asks the boy.",
+    "A hacker finds a stack trace that leads to a murder.", "This item is no longer safe.", "Her reference abcde1 was lost.",
+    "Two men cross the ice.\n--------\nOne of them comes back.", "property", "Synopsis:", "The scheduled maintenance of the tower gives Wynd one hour alone with the bells.",
+])
+def test_prose_about_such_things_is_no_residue(text):
+    assert not any(record_matches([s for s in residue.SEGMENT.split(text) if s.strip()]))
+
+
+@pytest.mark.parametrize("text", ["bla-bla-bla", "foo,foo,foo", "test/test/test", "Test paragraph number 5", "Test description 12", "by None.", "This is NaN.", "needs JS, which is off", "xxxxxxxxx", "Are you a robot?", "_" * 9])
+def test_the_cheap_test_lets_every_label_through(text):
+    assert segment_label(text) is None or may_hold_residue(text)
+
+
+def test_the_spread_finds_messages_when_half_of_the_seeds_are_left_out(spark):
+    # every message comes in near-duplicates; the rules may label only every other one of them
+    rng = random.Random(8)
+    stems = ["We can't find that page in our catalogue of {} and {} any more", "Please enable JavaScript in your browser to display the {} of this {}", "The server answered the request for the {} with nothing but a {}"]
+    data = []
+    for k in range(60):
+        a, b = rng.choice(["records", "items", "listings"]), rng.choice(["shelf", "page", "entry"])
+        stem = stems[k % 3].format(a, b)
+        cut = rng.randrange(20, len(stem) - 4)
+        data.append((k, stem[:cut] + rng.choice("abcde") + stem[cut + 1 :] if k % 2 else stem))
+    labels = lambda parts: [("message", p, True) if p in {t for k, t in data if k % 2 == 0} else None for p in parts]
+    df = spark.createDataFrame(data + [(100 + i, t) for i, t in enumerate(GENUINE)], "k int, t string")
+    got = {r["k"] for r in residue.find_residue(df, "k", "t", labels).collect()}
+    masks = {k: residue.masked(t) for k, t in data}
+    near, reached = {k for k in masks if k % 2 == 0}, set()
+    while near - reached:  # all that similarity alone connects with a seed
+        reached |= near
+        near = reached | {k for k in masks if any(residue.similarity(masks[k], masks[j]) >= residue.MIN_SIMILARITY for j in reached)}
+    assert {k for k in masks if k % 2 == 0} <= got <= reached
+    assert len(reached) > 45 and len(got) >= 0.95 * len(reached)
+
+
+def test_partitions_grow_with_the_input():
+    few, many = residue.partitions(10**5, 10**3), residue.partitions(10**10, 10**3)
+    assert many <= few and 64 // many >= 16
+
+
 def test_keyboard_noise_spares_names_and_words():
     assert keyboard_noise("kdhjfhsahld iriitqrui") and not keyboard_noise("typewriter") and not keyboard_noise("Dahalask")
 
