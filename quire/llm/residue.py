@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -36,6 +37,7 @@ _NAME = re.compile(r"(?<=\S )[A-ZÀ-Þ][\w’'-]+")
 _SPACE = re.compile(r"\s+")
 
 
+@lru_cache(1 << 16)
 def masked(segment: str) -> str:
     """A segment without what varies between copies of a message: numbers and names.
 
@@ -126,8 +128,10 @@ def table_slots(hashed: DataFrame, blocks: int, probing: bool) -> DataFrame:
     def block_slots(t: int):
         a, b = edges[t], edges[t + 1]
         own = F.shiftrightunsigned("hash", a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-        changes = [sum(1 << i for i in bits) for k in range(MAX_HAMMING // blocks + 1) for bits in combinations(range(b - a), k)] if probing else [0]
-        return F.transform(F.array(*[F.lit(c).cast("bigint") for c in changes]), lambda c: own.bitwiseXOR(c) + F.lit(t << 20))
+        if not probing:
+            return F.array(own + F.lit(t << 20))
+        changes = [sum(1 << i for i in bits) for k in range(MAX_HAMMING // blocks + 1) for bits in combinations(range(b - a), k)]
+        return F.transform(F.expr(f"array({', '.join(f'{c}L' for c in changes)})"), lambda c: own.bitwiseXOR(c) + F.lit(t << 20))
 
     slots = [block_slots(t) for t in range(blocks)]
     placed = hashed.select("hash", "size").distinct().select("hash", F.explode(F.flatten(F.array(*slots))).alias("_s"), "size")

@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+
+try:
+    import ahocorasick
+except ImportError:  # the triggers are then looked for one by one
+    ahocorasick = None
 
 #: Names that template fields of catalogue records carry.
 FIELD_WORDS = (
@@ -167,16 +173,34 @@ _ROWS = re.compile(r"\b(?:[asdfghjkl]{5,}|[qwertyuiop]{7,}|[zxcvbnm]{5,}|[b-df-h
 _STEM_SIGNS = [w for w in LATIN_STEMS if w not in {"inte", "cons", "comm", "done", "temp", "null"}]
 
 
-_ALL_WORDS = re.compile(r"\w+")
+_TWICE = re.compile(r"(?<!\w)(\w+)\W+\1(?!\w)")
+
+
+def _automaton():
+    if ahocorasick is None:
+        return None
+    found = ahocorasick.Automaton()
+    for w in TRIGGERS:
+        found.add_word(w, w)
+    found.make_automaton()
+    return found
+
+
+_AUTOMATON = _automaton()
+
+
+def _has_trigger(lower: str) -> bool:
+    if _AUTOMATON is None:
+        return any(w in lower for w in TRIGGERS)
+    return next(_AUTOMATON.iter(lower), None) is not None
 
 
 def may_hold_residue(segment: str) -> bool:
     """A cheap test that no segment with a label fails."""
     lower = segment.lower()
-    if any(w in lower for w in TRIGGERS) or _SIGNS.search(segment) or _SHORT.search(segment) or _ROWS.search(lower):
+    if _has_trigger(lower) or _SIGNS.search(segment) or _SHORT.search(segment) or _ROWS.search(lower):
         return True
-    words = _ALL_WORDS.findall(lower)
-    return any(a == b for a, b in zip(words, words[1:])) or sum(w in lower for w in _STEM_SIGNS) >= 3
+    return _TWICE.search(lower) is not None or sum(w in lower for w in _STEM_SIGNS) >= 3
 
 
 def segment_match(segment: str) -> tuple[str, str, bool] | None:
@@ -199,9 +223,15 @@ def segment_match(segment: str) -> tuple[str, str, bool] | None:
     return None
 
 
+@lru_cache(1 << 16)
+def _remembered_match(segment: str) -> tuple[str, str, bool] | None:
+    """The same behind the cheap test; sentences come again and again."""
+    return segment_match(segment) if may_hold_residue(segment) else None
+
+
 def record_matches(segments: list[str]) -> list[tuple[str, str, bool] | None]:
     """The match of every segment of a record; weak ones count only in a record that holds nothing else and teach nothing."""
-    found = [segment_match(s) if may_hold_residue(s) else None for s in segments]
+    found = [_remembered_match(s) for s in segments]
     alone = all(found)
     return [f if f is None or f[0] != "weak" else ("filler", "", False) if alone else None for f in found]
 
