@@ -114,7 +114,7 @@ PROSE = [
 #: What says nothing by itself: it counts where every other segment of the record is residue too.
 WEAK = [
     r"(?i)^\W*(?:are you a robot|(?:verify|prove) (?:that )?you are (?:human|not a robot))\W*$",
-    r"^\s*([_\-=*#~.xX])\1{7,}\s*$",
+    r"^(?:\s*([_\-=*#~.xX])\1{7,})+\s*$",
 ]
 
 FAMILIES = {"placeholder": PLACEHOLDERS, "unfinished": UNFINISHED, "filler": FILLER, "message": MESSAGES}
@@ -122,7 +122,7 @@ _COMPILED = {name: [re.compile(p) for p in patterns] for name, patterns in FAMIL
 _PROSE, _WEAK = [re.compile(p) for p in PROSE], [re.compile(p) for p in WEAK]
 
 #: A number as a system gives its cases, and the part of a segment that a phrase of ``PROSE`` fills without one.
-_CASE = re.compile(r"\b(?=[a-z]*\d)(?=\d*[a-z])[0-9a-z]{4,}\b|\b\d{5,}\b|\b" + _CODE + r"\b", re.I)
+_CASE = re.compile(r"\b(?=[a-z]*\d)(?=\d*[a-z])[0-9a-z]{4,}\b|\b\d{5,}\b|\b(?:item|record|reference|incident|page|id|query) [0-9a-f]{5,8}\b|\b" + _CODE + r"\b", re.I)
 PROSE_COVER = 0.5
 
 #: Stems of the usual Latin filler; its words come cut short and with other endings.
