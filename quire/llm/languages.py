@@ -25,9 +25,10 @@ DIMENSIONS = 1 << 15
 #: Part of the cosine that nearly all of a language's own texts reach; below it a text is rejected.
 REJECT_QUANTILE, REJECT_PART = 0.01, 0.5
 
-#: Words a sentence needs to speak for itself, and evidence that a change of language costs.
-MIN_SENTENCE_WORDS = 4
+#: Words' worth of evidence that a change of language costs; words of a sentence of fewer than
+#: so many count half, so that none of these makes a stretch alone.
 SWITCH_COST = 1.6
+MIN_SENTENCE_WORDS = 4
 
 _TAGS = re.compile(r"<[^<>\n]{1,80}>")
 _SENTENCE = re.compile(r"(?<![\s(“\"][A-ZÀ-Þ]\.)(?<=[.!?…])[\"”’»)\]]*\s+|\n+|\s+[/|•·–—]\s+|<br ?/?>")
@@ -59,17 +60,21 @@ class LanguageModel:
     """Clustered TF-IDF centroids of each language, compared by cosine."""
 
     def __init__(self, texts: list[str], labels: list[str]):
-        vectors, kept = [], []
+        known: dict[str, np.ndarray] = {}
+        words, kept = [], []
         for text, label in zip(texts, labels):
-            features = [f for a, b in sentences_of(text) for w in plain_words(text[a:b]) for f in word_features(w)]
-            if features and label in CODES:
-                vectors.append(np.unique(np.array(features), return_counts=True))
+            own = [w for a, b in sentences_of(text) for w in plain_words(text[a:b])]
+            if own and label in CODES:
+                for w in own:
+                    if w not in known:
+                        known[w] = np.array(word_features(w))
+                words.append(own)
                 kept.append(label)
         df = np.zeros(DIMENSIONS)
-        for at, _ in vectors:
-            df[at] += 1
-        self.idf = (np.log((1 + len(vectors)) / (1 + df)) + 1).astype(np.float32)
-        rows = [(at, (c * self.idf[at]) / np.linalg.norm(c * self.idf[at])) for at, c in vectors]
+        for own in words:
+            df[np.unique(np.concatenate([known[w] for w in set(own)]))] += 1
+        self.idf = (np.log((1 + len(words)) / (1 + df)) + 1).astype(np.float32)
+        rows = [self._vector([known[w] for w in own]) for own in words]
         labels = np.array(kept)
         # wrong labels: a text that lies nearer to another language's mean teaches nothing
         for _ in range(3):
@@ -100,8 +105,16 @@ class LanguageModel:
         for k, limit in limits:
             self.limits[k] = limit
         self.memory: dict[str, int] = {}
-        self.table = np.zeros((1, len(LANGUAGES)), np.float32)
-        self.features: list[list[int]] = [[]]
+        self.table = np.zeros((1, max(1, len(self.owners))), np.float32)
+        self.features: list[np.ndarray] = [np.empty(0, np.int64)]
+        self.weights: list[np.ndarray] = [np.empty(0, np.float32)]
+
+    def _vector(self, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Places and values of the unit vector of a text: the sum of the TF-IDF vectors of its words, each of length one."""
+        at, where = np.unique(np.concatenate(features), return_inverse=True)
+        lengths = np.array([np.linalg.norm(self.idf[f]) for f in features])
+        values = np.bincount(where, weights=np.concatenate([self.idf[f] / n for f, n in zip(features, lengths)]))
+        return at, values / np.linalg.norm(values)
 
     @staticmethod
     def _centroids(rows, groups) -> np.ndarray:
@@ -111,87 +124,102 @@ class LanguageModel:
             out[names.index(g), at] += v
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
-    def _scores(self, words: list[str]) -> np.ndarray:
-        """For each word its part of the product with the best-placed centroid of each language."""
+    def _products(self, words: list[str]) -> np.ndarray:
+        """For each word the part it adds to the product of its text's vector with each centroid."""
         memory = self.memory
         if len(memory) > 300_000:
             memory.clear()
-            self.table, self.features = self.table[:1], [[]]
+            self.table, self.features, self.weights = self.table[:1], self.features[:1], self.weights[:1]
         fresh = [w for w in set(words) if w not in memory]
         if fresh:
-            new = np.full((len(fresh), len(LANGUAGES)), -1e-9, np.float32)
+            new = np.zeros((len(fresh), len(self.owners)), np.float32)
             for i, w in enumerate(fresh):
-                self.features.append(word_features(w))
-                at = np.array(self.features[-1])
+                at = np.array(word_features(w))
+                self.features.append(at)
                 weight = self.idf[at]
-                product = self.centroids[:, at] @ weight / max(float(np.linalg.norm(weight)), 1e-9)
-                np.maximum.at(new[i], self.owners, product)
+                new[i] = self.centroids[:, at] @ (weight / np.linalg.norm(weight))
+                self.weights.append(weight / np.linalg.norm(weight))
                 memory[w] = len(self.table) + i
             self.table = np.vstack([self.table, new])
         return self.table[[memory[w] for w in words]]
 
-    def cosine(self, words: list[str]) -> np.ndarray:
-        """Exact cosine of a stretch with the nearest centroid of each language."""
-        out = np.zeros(len(LANGUAGES))
-        at, n = np.unique(np.array([f for w in words for f in self.features[self.memory[w]]], dtype=np.int64), return_counts=True)
-        if len(at) and len(self.centroids):
-            v = n * self.idf[at]
-            np.maximum.at(out, self.owners, self.centroids[:, at] @ (v / np.linalg.norm(v)))
+    def _length(self, words: list[str]) -> float:
+        """Length of the sum of the vectors of the words."""
+        at = [self.memory[w] for w in words]
+        _, where = np.unique(np.concatenate([self.features[i] for i in at]), return_inverse=True)
+        return float(np.linalg.norm(np.bincount(where, weights=np.concatenate([self.weights[i] for i in at]))))
+
+    def _by_language(self, products: np.ndarray) -> np.ndarray:
+        """The product with the nearest centroid of each language, for rows of products with all centroids."""
+        out = np.zeros((len(products), len(LANGUAGES)))
+        for k in np.unique(self.owners):
+            out[:, k] = products[:, self.owners == k].max(axis=1)
         return out
 
-    def stretches(self, text: str, expected: str | None = None) -> list[tuple[int, int, str | None, float, int]]:
+    def stretches(self, text: str) -> list[tuple[int, int, str | None, float, int]]:
         """Stretches ``(start, end, language, confidence, words)`` of a text in order.
 
-        Sentences vote by their words; a change of language must outweigh its cost, so
-        names and quoted words make no stretch. ``language`` is null where even the nearest
-        centroid is too far. The confidence is the nearest language's part of the two best
-        cosines, scaled to 0..1. A text all of whose sentences vote for ``expected`` is that
-        language without a closer look.
+        Every sentence speaks for the languages by its products with their nearest centroids;
+        a change of language must outweigh its cost, so names and quoted words make no
+        stretch. A stretch has the language of the centroid that is nearest to all of it by
+        cosine, null where even that one is too far. The confidence is the nearest
+        language's part of the two best cosines, scaled to 0..1.
         """
         spans = sentences_of(text)
         words = [plain_words(text[a:b]) for a, b in spans]
         flat = [w for ws in words for w in ws]
         if not flat or not len(self.centroids):
             return []
-        scores = self._scores(flat)
-        ends = np.cumsum([len(ws) for ws in words])
-        total = np.concatenate([np.zeros((1, len(LANGUAGES))), np.cumsum(scores, axis=0)])
-        each = total[ends] - total[np.concatenate([[0], ends[:-1]])]
-        long = np.array([len(ws) >= MIN_SENTENCE_WORDS for ws in words])
-        voices = each[long] if long.any() else each.sum(axis=0, keepdims=True)
-        path = voices.argmax(axis=1)
-        if (path == path[0]).all():
-            if LANGUAGES[path[0]] == expected:
-                return [(0, len(text), expected, 1.0, len(text.split()))]
-            state = np.full(len(spans), path[0])
+        sizes = np.array([len(ws) for ws in words])
+        ends = np.cumsum(sizes)
+        total = np.concatenate([np.zeros((1, len(self.owners))), np.cumsum(self._products(flat), axis=0, dtype=np.float64)])
+        each = self._by_language(total[ends] - total[ends - sizes])
+        speaking = each[sizes > 0].argmax(axis=1)
+        if (speaking == speaking[0]).all():
+            parts = [(0, len(spans))]
         else:
-            sizes = np.where(long, np.minimum([len(ws) for ws in words], 20), 0)
-            evidence = each / np.maximum(each.max(axis=1, keepdims=True), 1e-9) * sizes[:, None]
+            voice = np.where(sizes < MIN_SENTENCE_WORDS, sizes / 2, sizes)
+            # squared, as all languages share a good part of their letters
+            evidence = (each / np.maximum(each.max(axis=1, keepdims=True), 1e-9)) ** 2 * voice[:, None]
             state = _best_path(evidence, SWITCH_COST)
-        out, i = [], 0
-        while i < len(spans):
-            j = i
-            while j + 1 < len(spans) and state[j + 1] == state[i]:
-                j += 1
-            cos = self.cosine([w for ws in words[i : j + 1] for w in ws])
-            best = int(state[i])
-            other = max(np.delete(cos, best), default=0.0)
-            confidence = float(max(0.0, min(1.0, 0.5 + (cos[best] - other) / max(cos[best] + other, 1e-9))))
-            name = LANGUAGES[best] if cos[best] >= self.limits[best] else None
-            out.append((spans[i][0], spans[j][1], name, confidence, len(text[spans[i][0] : spans[j][1]].split())))
-            i = j + 1
+            cuts = [0, *(np.flatnonzero(state[1:] != state[:-1]) + 1).tolist(), len(spans)]
+            parts = list(zip(cuts, cuts[1:]))
+        nearest = []
+        for i, j in parts:
+            product = self._by_language((total[ends[j - 1]] - total[ends[i] - sizes[i]])[None])[0]
+            nearest.append([i, j, int(product.argmax()), product])
+        merged = nearest[:1]
+        for part in nearest[1:]:
+            if part[2] == merged[-1][2]:  # both are nearest to the same language after all
+                merged[-1][1], merged[-1][3] = part[1], merged[-1][3] + part[3]
+            else:
+                merged.append(part)
+        out = []
+        for i, j, best, product in merged:
+            held = flat[ends[i] - sizes[i] : ends[j - 1]]
+            other = float(np.delete(product, best).max()) if len(product) > 1 else 0.0
+            confidence = float(max(0.0, min(1.0, 0.5 + (product[best] - other) / max(product[best] + other, 1e-9))))
+            far = not held or product[best] < self.limits[best] * self._length(held)
+            a, b = spans[i][0], spans[j - 1][1]
+            out.append((a, b, None if far else LANGUAGES[best], confidence, len(text[a:b].split())))
         return out
 
 
 def _best_path(evidence: np.ndarray, cost: float) -> np.ndarray:
-    """States with the most evidence when each change costs ``cost``."""
-    score, back = evidence[0].copy(), []
+    """States with the most evidence when each change costs ``cost``.
+
+    A text begins and ends in the state with the most evidence, so a stretch at its edge
+    pays as much as one inside.
+    """
+    away = np.full(evidence.shape[1], cost)
+    away[int(evidence.sum(axis=0).argmax())] = 0
+    score, back = evidence[0] - away, []
     for row in evidence[1:]:
         top = int(score.argmax())
         stay = score >= score[top] - cost
         back.append(np.where(stay, np.arange(len(row)), top))
         score = np.where(stay, score, score[top] - cost) + row
-    path = [int(score.argmax())]
+    path = [int((score - away).argmax())]
     for b in reversed(back):
         path.append(int(b[path[-1]]))
     return np.array(path[::-1])
@@ -261,7 +289,7 @@ def missing_or_wrong(df: DataFrame, id_col: str, text_col: str, code_col: str, e
         for batch in batches:
             rows = []
             for key, text, label in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found = own.stretches(text, label)
+                found = own.stretches(text)
                 if len(found) > 1 or found and found[0][2] != label:
                     rows += [(key, i, label, *s) for i, s in enumerate(found, 1)]
             columns = list(zip(*rows)) or [[]] * 8
