@@ -130,20 +130,48 @@ def permutation_test(df: DataFrame, group: str, vector: str, rounds: int = 200,
     return out.withColumn("z", (F.col("similarity") - F.col("null_mean")) / F.nullif(F.col("null_sd"), F.lit(0.0)))
 
 
-def bootstrap_means(df: DataFrame, period: str, series: str, value: str, rounds: int = 300, seed: int = 0, parts: int = 16) -> DataFrame:
-    """``period, series, mean, lo, hi``: Poisson bootstrap of the mean.
+#: Chances of at most 0, 1, 2, ... repeats of a row in a Poisson draw of mean one.
+POISSON_EDGES = np.array([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119])
 
-    Every row draws its own repeat count for each round from a seeded hash, so the sums
-    are partial and no period is gathered into one task.
+
+def repeat_counts(keys: np.ndarray, rounds: int, seed: int = 0) -> np.ndarray:
+    """How often each row is drawn in each round, from the hash of its key alone."""
+    with np.errstate(over="ignore"):
+        mixed = keys.view(np.uint64)[:, None] + (np.arange(rounds, dtype=np.uint64) + np.uint64(seed * 7919 + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+    return np.searchsorted(POISSON_EDGES, (mixed >> np.uint64(11)).astype(np.float64) / (1 << 53), "right")
+
+
+def bootstrap_lift(df: DataFrame, key: str, period: str, series: str, value: str, rounds: int = 300, seed: int = 0) -> DataFrame:
+    """``period, series, lift, lo, hi``: Poisson bootstrap of the lift, 95 % bands.
+
+    Rows are resampled within their period by ``key``: a row is drawn in a round as often as
+    the hash of its key and the round says, so all series of one document are drawn together
+    and rows of equal value are drawn apart. Tasks add up their part of each round's sums,
+    so no period is gathered into one task. The lift is a round's mean against its
+    unweighted mean over the periods, 1 where that is 0. Null values count for nothing.
     """
-    each = df.select(period, series, F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_b"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "_b", period, series, "_v", F.lit(parts)), F.lit(1 << 30)) / float(1 << 30)).cast("double")
-    edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum((F.when(u >= e, 1).otherwise(0) for e in edges[1:]), F.when(u >= edges[0], 1).otherwise(0))
-    rounds_ = each.withColumn("_w", weight).groupBy(period, series, "_b").agg((F.sum(F.col("_v") * F.col("_w")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
-    bands = rounds_.groupBy(period, series).agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
-    means = df.groupBy(period, series).agg(F.avg(value).alias("mean"))
-    return means.join(bands, [period, series]).select(period, series, "mean", F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
+    rows = df.where(F.col(value).isNotNull()).select(F.xxhash64(F.col(key)).alias("_k"), F.col(period).alias("p"), F.col(series).alias("s"), F.col(value).cast("double").alias("v"))
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("p", "s")]
+
+    def sums(batches):
+        for pdf in batches:
+            n = repeat_counts(pdf["_k"].to_numpy(), rounds, seed)
+            group = pdf.groupby(["p", "s"], sort=False).ngroup().to_numpy()
+            total, drawn = np.zeros((group.max() + 1, rounds)), np.zeros((group.max() + 1, rounds))
+            np.add.at(total, group, n * pdf["v"].to_numpy()[:, None])
+            np.add.at(drawn, group, n)
+            names = pdf[["p", "s"]].drop_duplicates()
+            yield pd.DataFrame({"p": names["p"].to_numpy(), "s": names["s"].to_numpy(), "total": list(total), "drawn": list(drawn)})
+
+    parts = rows.mapInPandas(sums, f"p {kinds[0]}, s {kinds[1]}, total array<double>, drawn array<double>")
+    each = parts.select("p", "s", F.posexplode(F.arrays_zip("total", "drawn")).alias("_b", "x")).groupBy("p", "s", "_b").agg((F.sum("x.total") / F.nullif(F.sum("x.drawn"), F.lit(0.0))).alias("m"))
+    lifted = each.withColumn("base", F.avg("m").over(Window.partitionBy("s", "_b"))).withColumn("l", F.when(F.col("base") == 0, 1.0).otherwise(F.col("m") / F.col("base")))
+    bands = lifted.groupBy("p", "s").agg(F.percentile("l", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    true = lift(df.groupBy(F.col(period).alias("p"), F.col(series).alias("s")).agg(F.avg(value).alias("mean")), "s")
+    return true.join(bands, ["p", "s"]).select(F.col("p").alias(period), F.col("s").alias(series), "lift", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
 def period_profile(df: DataFrame, period: str, series: str, value: str) -> DataFrame:

@@ -122,8 +122,8 @@ def renormalised_shares(spark, sf_dir):
 
 @query("bootstrap_lift")
 def bootstrap_lift(spark, sf_dir):
-    """Bootstrap bands of the topic means of each decade."""
-    return S.bootstrap_means(topic_weights(spark, sf_dir), "decade", "genre", "w", 100)
+    """Bootstrap bands of the lift of each topic in each decade."""
+    return S.bootstrap_lift(topic_weights(spark, sf_dir), "wiki_id", "decade", "genre", "w")
 
 
 @query("sparkline", _t(", s as (select decade, genre, (mean - min(mean) over p) / case when max(mean) over p = min(mean) over p then 1 else max(mean) over p - min(mean) over p end as z from prof window p as (partition by genre)) select genre, string_agg(cast(cast(floor(z * 7.999) as int) as varchar), '' order by decade) as line from s group by genre"))
