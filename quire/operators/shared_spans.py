@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, release
 
 #: Characters the gear hash looks back on; 32 bits shifted once a character.
 GEAR = 16
 
+#: Texts with a chunk in common beyond which the chunk alone makes no pair, and the step in
+#: which such a chunk is then lengthened on its left.
+CROWDED, STEP = 32, 8
+
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -43,12 +48,17 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 def chunk_digests(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray]:
     """Index of the text and digest of every widened content-defined chunk."""
+    return chunk_places(texts, span)[:2]
+
+
+def chunk_places(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same with where each widened chunk begins and ends in its text."""
     window, left, right = chunk_margins(span)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     n = len(chars)
     if n < window + GEAR:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     value = (chars.astype(np.uint64) + np.uint64(1)) * _MIX1
     value = (value ^ (value >> np.uint64(29))) * _MIX2
     gear = (value >> np.uint64(32)).astype(np.uint32)
@@ -76,7 +86,35 @@ def chunk_digests(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray]:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * _powers(_INVERSE, n), dtype=np.uint64)])
     digest = (sums[hi] - sums[lo]) * _powers(_BASE, n)[lo]
     digest = (digest ^ (digest >> np.uint64(31)) ^ (hi - lo).astype(np.uint64)) * _MIX1
-    return owner, digest
+    starts = (ends - lengths)[owner]
+    return owner, digest, lo - starts, hi - starts
+
+
+def longer_keys(text: str, lo: int, hi: int, span: int) -> list[tuple[int, int]]:
+    """``(reach, key)`` of the lengthened chunks of a place, ``reach`` to the left of it.
+
+    Two texts whose common span holds the chunk agree on ``a`` characters before and ``b``
+    after it with ``a + b`` at least what the chunk lacks. They share the key of the largest
+    multiple of ``STEP`` up to ``a``: it asks for as much less on the right, rounded so that
+    ``b`` is sure to cover it.
+    """
+    lacks = max(0, span - (hi - lo))
+    out = []
+    for reach in range(0, lacks + 1, STEP):
+        right = max(0, lacks - reach - STEP + 1)
+        if reach <= lo and hi + right <= len(text):
+            out.append((reach, xxhash.xxh64_intdigest(f"{reach}:{text[lo - reach : hi + right]}".encode("utf-8", "surrogatepass")) - (1 << 63)))
+    return out
+
+
+def whole_keys(text: str, lo: int, hi: int, reach: int, span: int) -> list[int]:
+    """Keys of the windows of ``span`` characters that reach from ``reach`` to ``reach + STEP - 1`` left of a chunk."""
+    lacks = max(0, span - (hi - lo))
+    out = []
+    for a in range(reach, min(reach + STEP, lacks + 1)):
+        if a <= lo and hi + lacks - a <= len(text):
+            out.append(xxhash.xxh64_intdigest(f"{a}={text[lo - a : hi + lacks - a]}".encode("utf-8", "surrogatepass")) - (1 << 63))
+    return out
 
 
 def shared_intervals(a: str, b: str, span: int) -> list[tuple[int, int, int, int]]:
@@ -119,13 +157,64 @@ def text_units(df: DataFrame, id_col: str, group_col: str, text_col: str, span:
     return units.select("unit", "grp", "text"), members
 
 
+def _in_several(rows: DataFrame) -> DataFrame:
+    """``key, n``: keys of several groups, with the number of their places."""
+    return rows.groupBy("key").agg(F.min("grp").alias("_a"), F.max("grp").alias("_b"), F.count(F.lit(1)).alias("n")).where("_a <> _b").select("key", "n")
+
+
+def _meeting_places(units: DataFrame, chunks: DataFrame, span: int) -> DataFrame:
+    """``key, unit, grp``: distinct places of chunks, lengthened where many texts have the chunk.
+
+    A sentence shorter than ``span`` may stand in any number of texts and makes no pair. A
+    chunk in more than ``CROWDED`` places is therefore lengthened in steps, and what is
+    still crowded then is cut into windows of ``span`` characters, which form wanted pairs only.
+    """
+    kind = units.schema["unit"].dataType.simpleString()
+    several = cut(_in_several(chunks))
+    held = chunks.join(several, "key")
+    places = held.where(F.col("n") <= CROWDED).select("key", "unit", "grp")
+    if several.where(F.col("n") > CROWDED).isEmpty():
+        found = cut(places.distinct())
+        release(several)
+        return found
+
+    def lengthen(batches):
+        for batch in batches:
+            rows = []
+            for key, unit, grp, lo, hi, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                rows += [(k, unit, grp, lo, hi, reach) for reach, k in longer_keys(text, lo, hi, span)]
+            columns = list(zip(*rows)) or [[]] * 6
+            kinds = [pa.int64(), batch.schema.field(1).type, pa.int64(), *[pa.int32()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", "unit", "grp", "lo", "hi", "reach"])
+
+    def windows(batches):
+        for batch in batches:
+            rows = []
+            for unit, grp, lo, hi, reach, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                rows += [(k, unit, grp) for k in whole_keys(text, lo, hi, reach, span)]
+            columns = list(zip(*rows)) or [[]] * 3
+            kinds = [pa.int64(), batch.schema.field(0).type, pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", "unit", "grp"])
+
+    texts = units.select("unit", "text")
+    crowded = held.where(F.col("n") > CROWDED).join(texts, "unit").select("key", "unit", "grp", "lo", "hi", "text")
+    longer = cut(crowded.mapInArrow(lengthen, f"key bigint, unit {kind}, grp bigint, lo int, hi int, reach int"))
+    still = longer.join(_in_several(longer), "key")
+    exact = still.where(F.col("n") > CROWDED).join(texts, "unit").select("unit", "grp", "lo", "hi", "reach", "text").mapInArrow(windows, f"key bigint, unit {kind}, grp bigint")
+    exact = exact.join(_in_several(exact).select("key"), "key", "left_semi")
+    found = cut(places.unionByName(still.where(F.col("n") <= CROWDED).select("key", "unit", "grp")).unionByName(exact.select("key", "unit", "grp")).distinct())
+    release(several, longer)
+    return found
+
+
 def shared_unit_pairs(units: DataFrame, span: int, slice_chars: int = 1_000_000) -> DataFrame:
     """Verified stretches ``unit_a, unit_b, a_start, a_end, b_start, b_end`` across groups.
 
     Content-defined chunks are deduplicated by digest; only digests that occur in several
-    groups go on. Within a digest the heaviest group meets the others and the others meet
-    each other, so the pairs formed are of the order of those wanted and never the square
-    of one hot group. Every candidate is compared exactly.
+    groups go on, lengthened where they are crowded. Within a key the heaviest group meets
+    the others and the others meet each other, so the pairs formed are of the order of those
+    wanted and never the square of one hot group or of one short sentence. Every candidate
+    is compared exactly.
     """
 
     def digests(batches):
@@ -138,22 +227,23 @@ def shared_unit_pairs(units: DataFrame, span: int, slice_chars: int = 1_000_000)
                 while j < len(texts) and (j == i or size < slice_chars):
                     size += len(texts[j])
                     j += 1
-                owner, digest = chunk_digests(texts[i:j], span)
+                owner, digest, lo, hi = chunk_places(texts[i:j], span)
                 at = pa.array(owner + i)
-                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), keys.take(at), groups.take(at)], names=["digest", "unit", "grp"])
+                columns = [pa.array(digest.view(np.int64)), keys.take(at), groups.take(at), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "unit", "grp", "lo", "hi"])
                 i = j
 
     kind = units.schema["unit"].dataType.simpleString()
-    chunks = cut(units.mapInArrow(digests, f"digest bigint, unit {kind}, grp string"))
-    several = chunks.groupBy("digest").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("digest")
-    hot = chunks.join(several, "digest").distinct()
-    sizes = hot.groupBy("digest", "grp").agg(F.count(F.lit(1)).alias("n"))
-    heaviest = sizes.groupBy("digest").agg(F.max(F.struct("n", "grp"))["grp"].alias("top"))
-    marked = hot.join(heaviest, "digest").withColumn("in_top", F.col("grp") == F.col("top")).drop("top")
-    left = marked.select("digest", F.col("unit").alias("ua"), F.col("grp").alias("ga"), F.col("in_top").alias("ta"))
-    right = marked.where("not in_top").select("digest", F.col("unit").alias("ub"), F.col("grp").alias("gb"))
-    met = left.join(right, "digest").where("ga <> gb and (ta or ua < ub)")
+    chunks = cut(units.select("unit", F.xxhash64("grp").alias("grp"), "text").mapInArrow(digests, f"key bigint, unit {kind}, grp bigint, lo int, hi int"))
+    hot = _meeting_places(units, chunks, span)
+    sizes = hot.groupBy("key", "grp").agg(F.count(F.lit(1)).alias("n"))
+    heaviest = sizes.groupBy("key").agg(F.max(F.struct("n", "grp"))["grp"].alias("top"))
+    marked = hot.join(heaviest, "key").withColumn("in_top", F.col("grp") == F.col("top")).drop("top")
+    left = marked.select("key", F.col("unit").alias("ua"), F.col("grp").alias("ga"), F.col("in_top").alias("ta"))
+    right = marked.where("not in_top").select("key", F.col("unit").alias("ub"), F.col("grp").alias("gb"))
+    met = left.join(right, "key").where("ga <> gb and (ta or ua < ub)")
     pairs = cut(met.select(F.least("ua", "ub").alias("unit_a"), F.greatest("ua", "ub").alias("unit_b")).distinct())
+    release(chunks, hot)
     a = units.select(F.col("unit").alias("unit_a"), F.col("text").alias("text_a"))
     b = units.select(F.col("unit").alias("unit_b"), F.col("text").alias("text_b"))
 

@@ -73,6 +73,46 @@ def test_shared_pairs_agree_with_brute_force(spark, seed):
     assert got == brute_pairs(records, 60)
 
 
+def test_a_short_sentence_in_many_texts_forms_no_square(spark, monkeypatch):
+    rng = random.Random(9)
+    filler = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    sentence, longer = filler(180), filler(230)
+    data = [(i, i, filler(rng.randint(60, 120)) + (longer if i % 50 == 0 else sentence) + filler(rng.randint(60, 120))) for i in range(400)]
+    data += [(1000 + i, 1000 + i, filler(30) + sentence[:170] + filler(40)) for i in range(60)]
+    df = spark.createDataFrame(data, "rid int, g int, body string")
+    formed = []
+    compare = shared_spans.shared_intervals
+    units = spark.createDataFrame([(r, f"g{g}", t) for r, g, t in data], "unit int, grp string, text string")
+    real = shared_spans.cut
+
+    def counted(table):
+        out = real(table)
+        formed.extend([out.count()] if out.columns == ["unit_a", "unit_b"] else [])
+        return out
+
+    monkeypatch.setattr(shared_spans, "cut", counted)
+    found = {tuple(r) for r in shared_spans.shared_unit_pairs(units, 200).where("unit < other").select("unit", "other").distinct().collect()}
+    monkeypatch.undo()
+    by_id = {r: t for r, _, t in data}
+    tens = [r for r, _, t in data if longer in t]
+    assert {(a, b) for a in tens for b in tens if a < b} <= found
+    assert all(compare(by_id[a], by_id[b], 200) for a, b in found)
+    assert formed[0] <= 2 * len(found) + 50  # of the order of what is wanted, not 460 squared
+    assert {tuple(r) for r in shared_spans.shared_pairs(df, "rid", "g", "body", 200).collect()} == found
+
+
+def test_crowded_chunks_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(shared_spans, "CROWDED", 2)
+    rng = random.Random(10)
+    filler = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    parts = [filler(rng.randint(50, 90)) for _ in range(5)]
+    data = [(i, i // 2, filler(rng.randint(0, 40)) + "".join(parts[rng.randrange(5)] for _ in range(rng.randint(1, 3))) + filler(rng.randint(0, 40))) for i in range(60)]
+    df = spark.createDataFrame(data, "rid int, g int, body string")
+    got = {tuple(r) for r in shared_spans.shared_pairs(df, "rid", "g", "body", 70).select("id_a", "id_b").collect()}
+    want = {(a, b) for a, ga, x in data for b, gb, y in data if a < b and ga != gb and any(x[i : i + 70] in y for i in range(len(x) - 69))}
+    assert got == want and len(want) > 50
+
+
 def test_shared_share_counts_characters_once(spark):
     common = "".join(chr(97 + (i * i) % 26) for i in range(120))
     df = spark.createDataFrame([(1, 1, common + "tail one"), (2, 2, "head " + common), (3, 3, common[:80])], "rid int, g int, body string")
