@@ -34,7 +34,7 @@ MIN_CORE = 0.5
 SEGMENT = re.compile(r"(?<=[.!?…])\s+|\n+|<br ?/?>")
 _VARIABLE = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b|\d+")
 _NAME = re.compile(r"(?<=\S )[A-ZÀ-Þ][\w’'-]+")
-_SPACE = re.compile(r"\s+")
+_DIGIT = re.compile(r"\d")
 
 
 @lru_cache(1 << 16)
@@ -43,7 +43,9 @@ def masked(segment: str) -> str:
 
     Signs stay: a name in braces is a template's field, the name alone is a word.
     """
-    return _SPACE.sub(" ", _NAME.sub("N", _VARIABLE.sub("0", segment))).strip().lower()
+    if _DIGIT.search(segment):
+        segment = _VARIABLE.sub("0", segment)
+    return " ".join(_NAME.sub("N", segment).split()).lower()
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:

@@ -167,7 +167,12 @@ TRIGGERS = (
     "connecter|anmelden|inicie sesión|faça login|effettua|log opnieuw|your browser|your setting|activ|aktiv|habilit|ativ|abilit|attiv|inschakelen|test book|test product|test item|test record|test entry|do not buy|"
     "not available|not yet|not provided|no description|no synopsis|no blurb|no summary|description is|is null|<noscript"
 ).split("|")
-_SIGNS = re.compile(r"[{}\[\]%$#@]|<[<%?]|<h\d|<[A-Za-z ]+ here|<\s*(?i:insert|your|enter)|&lt;|__|--|==|\*\*|~~|\.\.\.\.|[xX]{8}|(?i:number|no\.?|#)\s*\d|(?i:\btest |\bjs\b)")
+#: Signs that ask for a closer look wherever they stand, and those that need more around them.
+SIGNS = "{ } [ ] % $ # @ << <% <? &lt; __ -- == ** ~~ .... xxxxxxxx".split() + ["test "]
+_TAGS = re.compile(r"<h\d|<[A-Za-z ]+ here|<\s*(?i:insert|your|enter)")
+_NUMBERED = re.compile(r"(?:number|no\.?)\s*\d")
+_SCRIPT_WORD = re.compile(r"\bjs\b")
+_DIGIT = re.compile(r"\d")
 _SHORT = re.compile(r"(?i)^\W*(?:gone|not found|tk|tbc|tbd|todo|fixme|xxx|timed out|js .*)\W*$|^\W*\d{3}\W|[.!?>\n]\s*\d{3}\W+[A-Za-z]|\W{3}js\b")
 _ROWS = re.compile(r"\b(?:[asdfghjkl]{5,}|[qwertyuiop]{7,}|[zxcvbnm]{5,}|[b-df-hj-np-tv-xz]{6,})\b")
 _STEM_SIGNS = [w for w in LATIN_STEMS if w not in {"inte", "cons", "comm", "done", "temp", "null"}]
@@ -180,8 +185,10 @@ def _automaton():
     if ahocorasick is None:
         return None
     found = ahocorasick.Automaton()
-    for w in TRIGGERS:
+    for w in _STEM_SIGNS:
         found.add_word(w, w)
+    for w in [*TRIGGERS, *SIGNS]:  # a stem that is a trigger, too, counts as that
+        found.add_word(w, "")
     found.make_automaton()
     return found
 
@@ -190,17 +197,28 @@ _AUTOMATON = _automaton()
 
 
 def _has_trigger(lower: str) -> bool:
+    """Whether a text in lower case has a trigger, a sign or three stems of Latin filler."""
     if _AUTOMATON is None:
-        return any(w in lower for w in TRIGGERS)
-    return next(_AUTOMATON.iter(lower), None) is not None
+        return any(w in lower for w in TRIGGERS) or any(w in lower for w in SIGNS) or sum(w in lower for w in _STEM_SIGNS) >= 3
+    stems = set()
+    for _, stem in _AUTOMATON.iter(lower):
+        if not stem:
+            return True
+        stems.add(stem)
+        if len(stems) >= 3:
+            return True
+    return False
 
 
 def may_hold_residue(segment: str) -> bool:
     """A cheap test that no segment with a label fails."""
     lower = segment.lower()
-    if _has_trigger(lower) or _SIGNS.search(segment) or _SHORT.search(segment) or _ROWS.search(lower):
+    if _has_trigger(lower) or _ROWS.search(lower) or _TWICE.search(lower) is not None:
         return True
-    return _TWICE.search(lower) is not None or sum(w in lower for w in _STEM_SIGNS) >= 3
+    if "<" in lower and _TAGS.search(segment) or "js" in lower and _SCRIPT_WORD.search(lower):
+        return True
+    has_digit = _DIGIT.search(lower) is not None
+    return has_digit and _NUMBERED.search(lower) is not None or (has_digit or len(segment) < 40) and _SHORT.search(segment) is not None
 
 
 def segment_match(segment: str) -> tuple[str, str, bool] | None:
