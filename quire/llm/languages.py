@@ -152,8 +152,9 @@ class LanguageModel:
     def _by_language(self, products: np.ndarray) -> np.ndarray:
         """The product with the nearest centroid of each language, for rows of products with all centroids."""
         out = np.zeros((len(products), len(LANGUAGES)))
-        for k in np.unique(self.owners):
-            out[:, k] = products[:, self.owners == k].max(axis=1)
+        # the centroids of a language lie side by side
+        begins = np.flatnonzero(np.concatenate([[True], self.owners[1:] != self.owners[:-1]]))
+        out[:, self.owners[begins]] = np.maximum.reduceat(products, begins, axis=1)
         return out
 
     def stretches(self, text: str) -> list[tuple[int, int, str | None, float, int]]:
@@ -197,9 +198,11 @@ class LanguageModel:
         out = []
         for i, j, best, product in merged:
             held = flat[ends[i] - sizes[i] : ends[j - 1]]
-            other = float(np.delete(product, best).max()) if len(product) > 1 else 0.0
+            other = max(float(x) for k, x in enumerate(product) if k != best)
             confidence = float(max(0.0, min(1.0, 0.5 + (product[best] - other) / max(product[best] + other, 1e-9))))
-            far = not held or product[best] < self.limits[best] * self._length(held)
+            # the vector of a stretch is no longer than its number of words
+            limit = self.limits[best]
+            far = not held or product[best] < limit * len(held) and product[best] < limit * self._length(held)
             a, b = spans[i][0], spans[j - 1][1]
             out.append((a, b, None if far else LANGUAGES[best], confidence, len(text[a:b].split())))
         return out
