@@ -2,51 +2,57 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..runtime import cut
 from .splitting import split_text
 from .tokens import ATOM_TOKENS, DEFAULT_VOCABULARY, counter
 
 #: Open windows one task keeps; more of them leave less unused space and cost more time.
-OPEN_WINDOWS = 64
+OPENwindowS = 64
 
 #: Partitions whose leftovers are packed together in one merging task.
 MERGE_FAN_IN = 16
 
-_ITEM = pa.struct([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("n_tokens", pa.int32())])
-_WINDOW = "used int, open boolean, items array<struct<id: bigint, piece: int, start: int, end: int, n_tokens: int>>"
+_PLACES = ("piece", "start", "end", "n_tokens")
 
 
 class Packer:
     """Bounded-space best fit: a fixed number of open windows, the fullest leaves first."""
 
     def __init__(self, capacity: int, windows: int):
-        self.capacity, self.windows, self.open = capacity, windows, []
+        self.capacity, self.windows = capacity, windows
+        #: Open windows ``[used, items]`` by how full they are; of equal ones the oldest first.
+        self.open: list[list] = []
+        self.used: list[int] = []
 
     def add(self, size: int, items: list) -> tuple[int, list] | None:
         """Place items of a common size; the window that had to be closed for it, if any."""
-        best = None
-        for w in self.open:
-            if w[0] + size <= self.capacity and (best is None or w[0] > best[0]):
-                best = w
-        if best is not None:
-            best[0] += size
-            best[1].extend(items)
-            return None
-        closed = None
-        if len(self.open) >= self.windows:
-            fullest = max(range(len(self.open)), key=lambda i: self.open[i][0])
-            closed = self.open.pop(fullest)
-        self.open.append([size, list(items)])
+        closed, held = None, list(items)
+        at = bisect_right(self.used, self.capacity - size) - 1  # the fullest that has room
+        if at >= 0:
+            at = bisect_left(self.used, self.used[at])
+            window = self.open.pop(at)
+            size, held = self.used.pop(at) + size, window[1]
+            held.extend(items)
+        elif len(self.open) >= self.windows:
+            at = bisect_left(self.used, self.used[-1])
+            closed = self.open.pop(at)
+            self.used.pop(at)
+        to = bisect_right(self.used, size)
+        self.used.insert(to, size)
+        self.open.insert(to, [size, held])
         return closed
 
 
-def _batch(rows: list[tuple[int, bool, list]]) -> pa.RecordBatch:
+def _batch(rows: list[tuple[int, bool, list]], item: pa.StructType) -> pa.RecordBatch:
     used, still, items = zip(*rows) if rows else ([], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(still, pa.bool_()), pa.array(items, pa.list_(_ITEM))], names=["used", "open", "items"])
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(still, pa.bool_()), pa.array(items, pa.list_(item))], names=["used", "open", "items"])
 
 
 def pack(
@@ -55,7 +61,7 @@ def pack(
     text_col: str,
     capacity: int,
     vocabulary: str = DEFAULT_VOCABULARY,
-    windows: int = OPEN_WINDOWS,
+    windows: int = OPENwindowS,
 ) -> DataFrame:
     """Containers of at most ``capacity`` tokens that hold every text once.
 
@@ -66,12 +72,13 @@ def pack(
 
     Result: ``container`` (named after its first item), ``position``, the id, ``piece``
     (1 for a whole text), ``start``, ``end``, ``n_tokens`` and ``used``. Null and empty
-    texts need no room and get no row; repeated rows are items of their own. Other columns
-    are ignored.
+    texts need no room and get no row; repeated rows are items of their own. Ids keep their
+    type, whatever it is; a null id is an id. Other columns are ignored.
     """
-    spark = df.sparkSession
-    items = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    packer = Packer
+    items = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    packer, kind = Packer, items.schema["id"].dataType
+    item = pa.struct([("id", to_arrow_type(kind)), *((n, pa.int32()) for n in _PLACES)])
+    window = f"used int, open boolean, items array<struct<id: {kind.simpleString()}, {', '.join(f'{n}: int' for n in _PLACES)}>>"
 
     def first(batches):
         own, bins = counter(vocabulary), packer(capacity, windows)
@@ -86,8 +93,8 @@ def pack(
                     out = bins.add(size, [{"id": key, "piece": i, "start": a, "end": b, "n_tokens": size}])
                     if out:
                         done.append((out[0], False, out[1]))
-            yield _batch(done)
-        yield _batch([(w[0], True, w[1]) for w in bins.open])
+            yield _batch(done, item)
+        yield _batch([(w[0], True, w[1]) for w in bins.open], item)
 
     def merge(last: bool):
         def run(batches):
@@ -95,20 +102,20 @@ def pack(
             for batch in batches:
                 done = []
                 rows = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())
-                for size, held in sorted(rows, key=lambda r: (-r[0], r[1][0]["id"] if r[1][0]["id"] is not None else -1, r[1][0]["piece"])):
+                for size, held in sorted(rows, key=lambda r: (-r[0], str(r[1][0]["id"]), r[1][0]["piece"])):
                     out = bins.add(size, held)
                     if out:
                         done.append((out[0], False, out[1]))
-                yield _batch(done)
-            yield _batch([(w[0], not last, w[1]) for w in bins.open])
+                yield _batch(done, item)
+            yield _batch([(w[0], not last, w[1]) for w in bins.open], item)
 
         return run
 
-    packed = cut(items.mapInArrow(first, _WINDOW))
+    packed = cut(items.mapInArrow(first, window))
     closed, left, tasks = packed.where("not open"), packed.where("open"), items.rdd.getNumPartitions()
     while tasks > 1:
         tasks = -(-tasks // MERGE_FAN_IN)
-        merged = left.repartition(tasks).mapInArrow(merge(tasks == 1), _WINDOW)
+        merged = left.repartition(tasks).mapInArrow(merge(tasks == 1), window)
         if tasks > 1:
             merged = cut(merged)
         closed, left = closed.unionByName(merged.where("not open")), merged.where("open")

@@ -102,7 +102,7 @@ def split_oversized(
     Further columns of ``df`` are ignored, whatever their names.
     """
     long = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") > max_tokens)
-    schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, piece int, n_pieces int, start int, end int, n_tokens int, boundary string, shared_tokens int, piece_text string"
+    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, piece int, n_pieces int, start int, end int, n_tokens int, boundary string, shared_tokens int, piece_text string"
 
     def run(batches):
         own = counter(vocabulary)

@@ -340,6 +340,24 @@ def test_packing_keeps_every_text_once(spark):
     assert packing.pack(df.limit(0), "doc", "t", 256).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "int", "date"])
+def test_packing_keeps_the_type_of_ids(spark, kind):
+    cast = "date_add(date'2020-01-01', id)" if kind == "date" else f"cast(id as {kind})"
+    df = spark.createDataFrame([(i, "word " * (i + 1)) for i in range(20)], "id int, t string").selectExpr(f"{cast} doc", "t", "t as items")
+    got = packing.pack(df.unionByName(df.limit(1).selectExpr("cast(null as " + kind + ") doc", "t", "items")), "doc", "t", 64)
+    assert got.schema["doc"].dataType.simpleString() == kind and got.count() == 21
+    assert {r["doc"] for r in got.collect()} == {r["doc"] for r in df.collect()} | {None}
+
+
+def test_packing_fills_its_containers(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, "word " * rng.randint(1, 60)) for i in range(3000)], "doc int, t string").repartition(6)
+    got = packing.pack(df, "doc", "t", 256)
+    used = [r["used"] for r in got.select("container", "used").distinct().collect()]
+    least = -(-sum(used) // 256)  # no packing needs fewer containers
+    assert len(used) <= 1.02 * least + 1
+
+
 def test_packer_closes_the_fullest():
     p = packing.Packer(10, 2)
     assert p.add(6, ["a"]) is None and p.add(7, ["b"]) is None and p.add(4, ["c"]) is None
