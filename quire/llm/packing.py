@@ -27,25 +27,23 @@ class Packer:
 
     def __init__(self, capacity: int, windows: int):
         self.capacity, self.windows = capacity, windows
-        #: Open windows ``[used, items]`` by how full they are; of equal ones the oldest first.
+        #: Open windows ``[used, items]``, the fullest first and of equal ones the oldest.
         self.open: list[list] = []
-        self.used: list[int] = []
+        self.fill: list[int] = []  # what they use, negative, so that it rises
 
     def add(self, size: int, items: list) -> tuple[int, list] | None:
         """Place items of a common size; the window that had to be closed for it, if any."""
         closed, held = None, list(items)
-        at = bisect_right(self.used, self.capacity - size) - 1  # the fullest that has room
-        if at >= 0:
-            at = bisect_left(self.used, self.used[at])
-            window = self.open.pop(at)
-            size, held = self.used.pop(at) + size, window[1]
+        at = bisect_left(self.fill, size - self.capacity)  # the fullest that has room
+        if at < len(self.open):
+            held = self.open.pop(at)[1]
+            size -= self.fill.pop(at)
             held.extend(items)
         elif len(self.open) >= self.windows:
-            at = bisect_left(self.used, self.used[-1])
-            closed = self.open.pop(at)
-            self.used.pop(at)
-        to = bisect_right(self.used, size)
-        self.used.insert(to, size)
+            closed = self.open.pop(0)
+            self.fill.pop(0)
+        to = bisect_right(self.fill, -size)
+        self.fill.insert(to, -size)
         self.open.insert(to, [size, held])
         return closed
 
