@@ -27,8 +27,16 @@ def read_json_lines(spark: SparkSession, path: str, schema: str = BOOKS, strict:
     return found if partitions is None else found.repartition(partitions)
 
 
+def read_book_authors(spark: SparkSession, path: str) -> DataFrame:
+    """``book_id, author_ids`` of a file of books; nothing else of a line is parsed."""
+    return read_json_lines(spark, path, BOOK_AUTHORS).select("book_id", F.col("authors.author_id").alias("author_ids"))
+
+
 def read_book_columns(spark: SparkSession, pattern: str) -> DataFrame:
-    """CSV files with a header: ``id, authors, ratingdisttotal``, by any of their spellings."""
+    """CSV files with a header: ``id, authors, ratingdisttotal``, by any of their spellings.
+
+    Bytes that are no UTF-8 come as replacement characters, as the decoder reads them.
+    """
     found = spark.read.option("header", True).option("escape", '"').csv(pattern)
     names = {c.lower(): c for c in found.columns}
     return found.select(F.col(names["id"]).cast("bigint").alias("id"), F.col(names["authors"]).alias("authors"), F.col(names["ratingdisttotal"]).alias("ratingdisttotal"))

@@ -20,6 +20,11 @@ def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def load_model(kind, path: str):
+    """A model of a class saved by :func:`save_model`."""
+    return kind.load(path)
+
+
 def materialised(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
     """The table at ``path``, built and written first where it is missing."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
