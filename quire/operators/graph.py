@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, release
 
-#: A graph is clustered in one task only up to this many edges.
+#: A connected component is clustered in one task only up to this many edges.
 MAX_CLUSTER_EDGES = 20_000_000
 
 
@@ -28,7 +28,7 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b", "weight")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node that can be reached.
 
     Labels spread to neighbours and then jump to their own label's label, so long chains
@@ -36,15 +36,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     sym = cut(both_ways(edges).select("node", "other").distinct())
     labels = cut(sym.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")))
-    for _ in range(max_rounds):
+    while True:
         near = sym.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
         spread = labels.join(near, "node").select("node", F.least("component", "near").alias("component"))
         jump = spread.select(F.col("node").alias("component"), F.col("component").alias("further"))
         fresh = cut(spread.join(jump, "component", "left").select("node", F.coalesce("further", "component").alias("component")))
         if fresh.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty():
+            release(sym, labels)
             return fresh
+        release(labels)
         labels = fresh
-    raise RuntimeError("components did not settle")
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
@@ -73,7 +74,7 @@ def modularity(edges: DataFrame, groups: DataFrame, gamma: float = 1.0) -> DataF
 class Leiden:
     """Leiden clustering for modularity with a resolution (Traag, Waltman and van Eck 2019)."""
 
-    def __init__(self, edges: list[tuple[int, int, float]], n: int, gamma: float, seed: int):
+    def __init__(self, edges: list[tuple[int, int, float]], n: int, gamma: float, seed: int, total: float | None = None):
         self.gamma, self.rng = gamma, random.Random(seed)
         self.near: list[dict[int, float]] = [defaultdict(float) for _ in range(n)]
         self.own = [0.0] * n
@@ -84,7 +85,7 @@ class Leiden:
                 self.near[a][b] += w
                 self.near[b][a] += w
         self.degree = [sum(x.values()) + 2 * s for x, s in zip(self.near, self.own)]
-        self.total = sum(self.degree) or 1.0
+        self.total = total or sum(self.degree) or 1.0
 
     def _move(self, part: list[int]) -> bool:
         """Move nodes to the neighbouring part with the largest gain until none gains."""
@@ -170,7 +171,7 @@ class Leiden:
             if len(names) == len(part):
                 part = upper
                 break
-            nxt = Leiden([(a, b, w) for (a, b), w in edges.items()], len(names), graph.gamma, 0)
+            nxt = Leiden([(a, b, w) for (a, b), w in edges.items()], len(names), graph.gamma, 0, graph.total)
             nxt.rng = graph.rng
             graph, part = nxt, upper
         return [part[x] for x in where]
@@ -179,27 +180,38 @@ class Leiden:
 def leiden(edges: DataFrame, gamma: float = 8.0, seed: int = 42) -> DataFrame:
     """``node, grp, size``: connected communities numbered by size, then smallest node.
 
-    The thresholded graph is clustered in one task, after a check of its size. Each
-    connected component could be clustered alone; a graph beyond the bound must be cut by
-    a weight threshold first.
+    No community crosses a connected component, so each component is clustered in a task of
+    its own, against the weight of the whole graph. A component beyond the bound must be cut
+    by a weight threshold first.
     """
-    n = edges.count()
-    if n > MAX_CLUSTER_EDGES:
-        raise ValueError(f"{n} edges; at most {MAX_CLUSTER_EDGES} are clustered in one task")
-    kind = edges.schema["a"].dataType.simpleString()
+    comp = connected_components(edges).select(F.col("node").alias("a"), "component")
+    placed = cut(edges.select("a", "b", "weight").join(comp, "a"))
+    size = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).agg(F.max("n").alias("n"), F.sum("w").alias("w")).first()
+    if (size["n"] or 0) > MAX_CLUSTER_EDGES:
+        raise ValueError(f"a component has {size['n']} edges; at most {MAX_CLUSTER_EDGES} are clustered in one task")
+    kind, total = edges.schema["a"].dataType.simpleString(), 2.0 * float(size["w"] or 0.0)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = sorted(set(pdf["a"]) | set(pdf["b"]))
         index = {x: i for i, x in enumerate(nodes)}
         rows = sorted((index[a], index[b], float(w)) for a, b, w in zip(pdf["a"], pdf["b"], pdf["weight"]))
-        part = Leiden(rows, len(nodes), gamma, seed).run()
+        part = Leiden(rows, len(nodes), gamma, seed, total).run()
         members = defaultdict(list)
         for x, p in zip(nodes, part):
             members[p].append(x)
-        ordered = sorted(members.values(), key=lambda m: (-len(m), m[0]))
-        return pd.DataFrame([(x, i, len(m)) for i, m in enumerate(ordered) for x in m], columns=["node", "grp", "size"])
+        return pd.DataFrame([(x, m[0], len(m)) for m in members.values() for x in m], columns=["node", "first", "size"])
 
-    return edges.select("a", "b", "weight", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, f"node {kind}, grp int, size int")
+    found = cut(placed.groupBy("component").applyInPandas(run, f"node {kind}, first {kind}, size int"))
+    return found.join(numbered(found.where("node = first"), [F.desc("size"), F.col("first")], "grp").select("first", "grp"), "first").select("node", F.col("grp").cast("int").alias("grp"), "size")
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Rows with their number from 0 in ``order``: each task numbers a range after those before it."""
+    placed = cut(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    before = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return placed.withColumn("_r", inside).join(before, "_p").withColumn(name, F.col("_before") + F.col("_r") - 1).drop("_p", "_before", "_r")
 
 
 def group_traffic(edges: DataFrame, groups: DataFrame) -> DataFrame:

@@ -46,13 +46,8 @@ def _circles(edges):
     """``node, circle, size``: components numbered by size, then by their smallest member."""
     comp = graph.connected_components(edges)
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    # numbers by ranges of size: each task numbers its own circles after those before it
-    placed = sizes.repartitionByRange(F.desc("size"), F.col("component")).withColumn("_p", F.spark_partition_id())
-    before = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("size"), "component"))
-    numbered = placed.withColumn("_r", inside).join(before, "_p").select("component", "size", (F.col("_before") + F.col("_r") - 1).alias("circle"))
-    return comp.join(numbered, "component").select("node", "circle", "size")
+    named = graph.numbered(sizes, [F.desc("size"), F.col("component")], "circle")
+    return comp.join(named, "component").select("node", "circle", "size")
 
 
 @query("author_circles", f"with recursive {_CIRCLES_SQL} select * from circles")
@@ -89,6 +84,14 @@ def circle_drift(spark, sf_dir):
     return c.withColumn("drifted", F.col("documented") != F.col("size"))
 
 
+@query("author_communities")
+def author_communities(spark, sf_dir):
+    """Communities inside the circles, with the rank of each member by its ties."""
+    edges = _edges(spark, sf_dir)
+    members = graph.leiden(edges, gamma=1.0).where("size >= 3").join(graph.weighted_degree(edges), "node")
+    return graph.rank_in_group(members, [F.desc("degree"), F.col("node")])
+
+
 @query("author_islands", f"with {_GRAPH_SQL} select distinct node from docs where node not in (select node from degree)")
 def author_islands(spark, sf_dir):
     """Authors who share no work with anyone."""
