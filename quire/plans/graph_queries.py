@@ -185,7 +185,10 @@ def community_ranks(spark, sf_dir):
     return graph.rank_in_group(members, [F.desc("degree"), F.col("node")])
 
 
-@query("pagerank")
+@query("pagerank", f"""with recursive {_EDGE_SQL}, sym as (select a as n, b as o, weight from strong union all select b, a, weight from strong), degree as (select n, sum(weight) as total from sym group by n),
+size as (select count(*)::double as every from degree), steps as (select sym.n, o, weight / total as p from sym join degree on degree.n = sym.n),
+r(i, n, rank) as (select 0, n, 1 / every from degree, size union all select * from (select any_value(i) + 1, o, any_value(0.15 / every) + 0.85 * sum(rank * p) from r join steps using (n), size where i < 30 group by o))
+select n as node, round(rank, 9) as rank from r where i = 30""")
 def pagerank(spark, sf_dir):
     """PageRank over the strongest ties."""
     return graph.pagerank(order_edges(spark, sf_dir, 2)).withColumn("rank", F.round("rank", 9))
