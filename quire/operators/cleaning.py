@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise, sentences
+from ..runtime import cut
 
 #: Phrases of printers and scanners that stand in place of a description.
 BOILERPLATE = [
@@ -40,11 +41,14 @@ def repeated_sentences(df: DataFrame, id_col: str, text_col: str, min_docs: int
 
 
 def strip_repeated(df: DataFrame, id_col: str, text_col: str, min_docs: int = 10, min_chars: int = 25) -> DataFrame:
-    """``id, text, stripped_chars``: texts without the sentences repeated across texts."""
-    rows = sentence_rows(df, id_col, text_col)
-    flagged = rows.join(repeated_sentences(df, id_col, text_col, min_docs, min_chars).select("key", F.lit(True).alias("repeated")), "key", "left")
-    kept = F.array_sort(F.collect_list(F.when(F.col("repeated").isNull(), F.struct("pos", "sentence"))))
-    return flagged.groupBy(id_col).agg(kept.alias("kept"), F.coalesce(F.sum(F.when(F.col("repeated"), F.length("sentence"))), F.lit(0)).alias("stripped_chars")).select(id_col, F.array_join(F.transform("kept", lambda s: s["sentence"]), " ").alias("text"), "stripped_chars")
+    """``id, text, stripped_chars``: texts without the sentences repeated across texts, one row an id."""
+    # a written table has a known size: the engine sends a small one to the tasks, and then no
+    # sentence is shuffled; only the positions of what is repeated meet the texts again
+    repeated = cut(repeated_sentences(df, id_col, text_col, min_docs, min_chars).select("key"))
+    found = sentence_rows(df, id_col, text_col).join(repeated, "key").groupBy(id_col).agg(F.collect_set("pos").alias("_at"), F.sum(F.length("sentence")).alias("stripped_chars"))
+    texts = df.where(F.size(sentences(F.col(text_col))) > 0).select(id_col, sentences(F.col(text_col)).alias("_s")).join(found, id_col, "left")
+    kept = F.filter("_s", lambda s, i: ~F.coalesce(F.array_contains("_at", i), F.lit(False)))
+    return texts.select(id_col, F.array_join(kept, " ").alias("text"), F.coalesce("stripped_chars", F.lit(0)).alias("stripped_chars"))
 
 
 def clean_corpus(df: DataFrame, id_col: str, text_col: str, min_docs: int = 10, min_chars: int = 200, bound=None) -> DataFrame:
@@ -55,6 +59,6 @@ def clean_corpus(df: DataFrame, id_col: str, text_col: str, min_docs: int = 10,
     """
     base = df.select(id_col, F.col(text_col).alias("text")).where(F.col("text").isNotNull() & ~is_boilerplate(F.col("text")))
     exact = keep_first(base, F.md5(normalise(F.col("text"))), [id_col])
-    near = keep_first(exact, F.substring(normalise(F.col("text")), 1, 120), [id_col])
+    near = cut(keep_first(exact, F.substring(normalise(F.col("text")), 1, 120), [id_col]))
     stripped = strip_repeated(near, id_col, "text", min_docs)
     return (stripped if bound is None else bound(stripped)).where(F.length("text") >= min_chars)

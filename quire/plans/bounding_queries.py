@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import bounding, cleaning, keyness
 from .corpus_queries import _NORM, _ROWS_SQL, matched_pairs, pair_tokens
+from ..runtime import cut
 from .registry import query
 from .text_queries import BOOKS_SQL, records
 
@@ -42,7 +43,8 @@ flags as (select book_id, pos, sentence, hard, list_concat(pre, post, any_, case
 
 
 def _repeated(spark, sf_dir):
-    return cleaning.repeated_sentences(records(spark, sf_dir, "description"), "book_id", "description")
+    # written, so that its size is known and a small set is sent to the tasks
+    return cut(cleaning.repeated_sentences(records(spark, sf_dir, "description"), "book_id", "description"))
 
 
 def flags(spark, sf_dir):

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import audit_queries, author_graph, bounding_queries, corpus_queries, graph_queries, keyword_queries, model_queries, problems, text_queries, topic_checks, trend_queries, word_queries  # noqa: F401
+    from . import audit_queries, author_graph, book_pipelines, bounding_queries, corpus_queries, graph_queries, keyword_queries, model_queries, problems, text_queries, topic_checks, trend_queries, word_queries  # noqa: F401
 
 
 def queries() -> dict:
