@@ -145,7 +145,7 @@ def _title_words(text) -> Column:
 
 
 def _text_names(text) -> Column:
-    return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}])(\p{Lu}\p{L}{2,})"), F.lit(1))), _folded)
+    return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\p{Lu}(?<![\p{L}\p{N}].)\p{L}{2,})"), F.lit(1))), _folded)
 
 
 def _volume(text) -> Column:
