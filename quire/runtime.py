@@ -44,9 +44,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Remove tables made by :func:`cut` that nothing still to run reads."""
+    """Remove tables made by :func:`cut` that nothing still to run reads.
+
+    The shuffle files of what was written are removed once the driver's collector has seen
+    that nothing refers to them; it is asked to look, as it may not for half an hour.
+    """
     for t in tables:
         _remove(t.sparkSession, t._quire_path)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
