@@ -106,7 +106,8 @@ _STOP_WORDS = {
 def _stop_word_language(books: DataFrame, texts: DataFrame) -> DataFrame:
     """A plain stand-in for the language hook: the language with most stop words."""
     words = F.split(F.lower("text"), r"[^\p{L}]+")
-    counts = [F.struct(F.size(F.filter(words, lambda w, v=v: w.isin(v.split()))).alias("n"), F.lit(k).alias("lang")) for k, v in _STOP_WORDS.items()]
+    among = lambda known: F.size(F.filter(words, lambda w: w.isin(known)))
+    counts = [F.struct(among(v.split()).alias("n"), F.lit(k).alias("lang")) for k, v in _STOP_WORDS.items()]
     return texts.select("id", F.greatest(*counts)["lang"].alias("lang"))
 
 

@@ -216,3 +216,14 @@ def test_training_brings_walked_neighbours_together():
     records = [[(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0)]] * 40 + [[(0, 11, 1.0), (1, 12, 1.0), (2, 13, 1.0)]] * 40 + [[(0, 20 + i, 1.0), (1, 60 + i, 1.0)] for i in range(30)]
     v = train_vectors(walk_sequences(records, np.random.default_rng(0)))
     assert v.shape[1] == 64 and np.allclose(np.linalg.norm(v, axis=1), 1, atol=1e-3)
+
+
+def test_best_records_without_the_optional_subpackage(spark, tmp_path, monkeypatch):
+    from quire.plans import problems, registry
+
+    monkeypatch.setattr(registry, "hooks", {})
+    french = "La maison est dans la ville et les habitants qui sont des amis de la famille"
+    data = [(1, 7, french, "fre", 1), (2, 7, "Short one", "eng", 2), (3, 7, None, "fr", 3), (4, 8, french, "fr", 1), (5, None, french, "fr", 1), (6, 9, None, None, 1), (7, 9, "", "en", 1), (1, 7, french, "fre", 1)]
+    spark.createDataFrame(data, "book_id long, work_id long, description string, language_code string, updated_at int").write.parquet(f"{tmp_path}/goodreads_books.parquet")
+    got = {tuple(r) for r in problems.p4_found(spark, str(tmp_path)).select("work_id", "description_book_id", "language_book_id").collect()}
+    assert got == {(7, 1, 3), (9, 0, 0)}
