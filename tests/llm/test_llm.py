@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from quire.llm import languages, leaks, packing, residue, splitting
@@ -123,6 +124,46 @@ def test_spread_reaches_every_pair_within_its_limits(spark):
     assert len(reached) > 20 and got == reached | set(trusted)
 
 
+def _messages_and_prose(n, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuw") for _ in range(rng.randint(3, 9)))
+    trusted = ["please enable javascript to view " + " ".join(word() for _ in range(rng.randint(3, 6))) for _ in range(n)]
+    varied = [t.replace("enable javascript", "enable javascrjpt") for t in trusted]
+    prose = [" ".join(word() for _ in range(12)) for _ in range(10 * n)]
+    return trusted, varied, prose
+
+
+def test_the_spread_meets_few_pairs_however_many_messages_there_are():
+    # by tables alone, 30,000 messages and four million sentences meet in hundreds of millions of rows
+    assert residue.table_rows(residue.partitions(4_000_000, 30_000), 4_000_000, 30_000) > 20 * residue.TABLE_ROWS
+    trusted, varied, prose = _messages_and_prose(500, 3)
+    held = np.bincount(residue.gram_codes(trusted)[1] % residue.GRAM_PLACES, minlength=residue.GRAM_PLACES)
+    slots = [residue.telling_grams(texts, held) for texts in (trusted, varied + prose)]
+    shared = [{(k, c) for k, c in zip(*(x.tolist() for x in s))} for s in slots]
+    by_code = {}
+    for k, c in shared[0]:
+        by_code.setdefault(c, set()).add(k)
+    pairs = {(k, j) for j, c in shared[1] for k in by_code.get(c, ())}
+    alike = {(k, j) for k, t in enumerate(trusted) for j, v in enumerate(varied) if residue.similarity(t, v) >= residue.MIN_SIMILARITY}
+    assert len(alike) > 200 and alike <= pairs and len({j for j, _ in shared[1] if j >= len(varied)}) < 0.05 * len(prose)
+
+
+@pytest.mark.parametrize("rows", [0, 10**12])
+def test_tables_and_runs_of_characters_reach_the_same(spark, monkeypatch, rows):
+    monkeypatch.setattr(residue, "TABLE_ROWS", rows)
+    trusted, varied, prose = _messages_and_prose(80, 4)
+    texts = trusted + varied + prose + ["tk", "a b"]
+    prints = residue.fingerprints([residue.masked(t) for t in texts])
+    bits = lambda i, j: bin(int(prints[i]) ^ int(prints[j])).count("1") <= residue.MAX_HAMMING
+    want, near = set(), set(range(len(trusted)))
+    while near - want:
+        want |= near
+        near = {i for i in range(len(texts)) if i not in want and any(bits(i, j) and residue.similarity(texts[i], texts[j]) >= residue.MIN_SIMILARITY for j in want)}
+    labels = lambda parts: [("message", "please enable javascript", True) if p in set(trusted) else None for p in parts]
+    got = {r["k"] for r in residue.find_residue(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t", labels).collect()}
+    assert len(want) > len(trusted) + 20 and got <= want and {k for k in want if residue.keeps_core(texts[k], "please enable javascript")} <= got
+
+
 def test_a_sentence_without_the_pasted_message_is_no_copy_of_it(spark):
     sentence = "Per Brabeil, la chiave arrugginita vale più di ogni altra cosa, e questo cambierà tutto."
     df = spark.createDataFrame([(1, "500 Unexpected server error " + sentence), (2, sentence), (3, "/ " + sentence)], "k int, t string")
