@@ -180,6 +180,21 @@ SAMPLES = {
 }
 
 
+def test_new_words_seldom_move_the_table_of_known_ones():
+    model = languages.LanguageModel(list(SAMPLES.values()) * 3, list(SAMPLES) * 3)
+    rng = random.Random(2)
+    tables, lone = set(), {}
+    for _ in range(300):
+        text = " ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(8))
+        lone[text] = model.stretches(text)
+        tables.add(model.table.ctypes.data)
+    assert len(tables) < 20 and len(model.memory) == 2400
+    for text, found in list(lone.items())[::50]:  # what is known from before changes nothing
+        fresh = languages.LanguageModel(list(SAMPLES.values()) * 3, list(SAMPLES) * 3)
+        assert [s[:3] for s in fresh.stretches(text)] == [s[:3] for s in found]
+
+
+
 def labelled(n=12):
     out = []
     for lang, text in SAMPLES.items():
