@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -152,7 +153,7 @@ class Items:
         if len(near & self.sets[k]) < self.distinct[k]:
             return False
         # a passage has all but its edits among the words nearby
-        held = np.concatenate([[0], np.cumsum([w in near for w in mine[a:b]])])
+        held = np.array(list(accumulate(map(near.__contains__, mine[a:b]), initial=0)))
         if not any(m <= b - a and (held[m:] - held[:-m] >= m - e).any() for m, e in targets):
             return False
         after = prefix_costs(mine[p + q : b], words[x + q : x + q + reach + most])
@@ -175,7 +176,7 @@ def leaks_in(texts: list[str | None], items: Items) -> list[tuple[int, int]]:
     get = code.get
     for text in texts:
         if text:
-            flat += [get(w, 0) for w in words_of(text)]
+            flat.extend(map(get, words_of(text), repeat(0)))
         ends.append(len(flat))
     words = np.array(flat, dtype=np.uint64)
     ends = np.array(ends, dtype=np.int64)
@@ -200,8 +201,13 @@ def leaks_in(texts: list[str | None], items: Items) -> list[tuple[int, int]]:
         spread = np.repeat(np.arange(len(at)), times)
         inner = np.arange(len(spread)) - np.repeat(np.cumsum(times) - times, times)
         item_at = where[first[slot][spread] + inner]
+        last, own = -1, []
         for d, x, k, p in zip(doc[spread].tolist(), (at - begins[doc])[spread].tolist(), *item_at.T.tolist()):
-            if (d, k) not in found and items.verify(k, flat[begins[d] : ends[d]], p, x, q):
+            if (d, k) in found:
+                continue
+            if d != last:  # the hits of a text come one after the other
+                last, own = d, flat[begins[d] : ends[d]]
+            if items.verify(k, own, p, x, q):
                 found.add((d, k))
     return sorted(found)
 

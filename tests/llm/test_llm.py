@@ -331,6 +331,18 @@ def test_several_edited_copies_agree_with_brute_force(seed):
             assert ((d, k) in found) == want, (d, k)
 
 
+def test_a_text_with_many_hits_is_copied_once(monkeypatch):
+    item = " ".join(f"w{i}" for i in range(40))
+    items, seen = leaks.Items([("a", item)]), []
+    verify = leaks.Items.verify
+    monkeypatch.setattr(leaks.Items, "verify", lambda self, k, words, *rest: (seen.append(words), verify(self, k, words, *rest))[1])
+    piece = " ".join(f"w{i}" for i in range(5))
+    noise = lambda n: " ".join(f"x{n}y{i}" for i in range(60))
+    texts = [" ".join(f"{piece} {noise(n)}" for n in range(20)), f"{noise(30)} {item}", piece]
+    assert leaks.leaks_in(texts, items) == [(1, 0)]
+    assert len(seen) > 20 and len({id(x) for x in seen}) == 3
+
+
 @pytest.mark.parametrize("kind", ["int", "string", "bigint", "date"])
 def test_leaks_keep_the_types_of_ids_and_work_in_blocks(spark, kind):
     items = [" ".join(f"v{k}x{i}" for i in range(35)) for k in range(5)]
