@@ -84,6 +84,14 @@ def test_keyboard_noise_spares_names_and_words():
     assert keyboard_noise("kdhjfhsahld iriitqrui") and not keyboard_noise("typewriter") and not keyboard_noise("Dahalask")
 
 
+def test_no_round_without_segments_that_may_be_reached(spark, monkeypatch):
+    sizes, plan = [], residue.partitions
+    monkeypatch.setattr(residue, "partitions", lambda n_open, n_frontier: sizes.append(n_open) or plan(n_open, n_frontier))
+    data = [(1, "The page you requested does not exist."), (2, "A quarrel over a bathhouse ends in revenge.")]
+    assert [r["k"] for r in residue.find_residue(spark.createDataFrame(data, "k int, t string"), "k", "t").collect()] == [1]
+    assert all(sizes)
+
+
 def test_find_residue_and_its_spread(spark):
     variant = "Thiz page needs Javascript, which is switched off."
     data = [(1, RESIDUE[0]), (2, GENUINE[0] + " " + RESIDUE[5]), (3, None), (4, "  "), (5, ""), (6, "This page needs Javascript, which is switched off."), (7, variant), (8, " ".join(GENUINE)), (8, " ".join(GENUINE)), (None, RESIDUE[1])]
