@@ -15,8 +15,12 @@ from .representatives import top_per_group
 ATTRIBUTES = {"title": 0, "person": 1, "name": 2}
 DIMENSIONS = 64
 
-#: Bound of the sample of records (each side, on average) whose walks train the vectors.
-SAMPLE_RECORDS = 5000
+#: Walks that a task trains on at once, records for each bucket of tokens where walks meet, and
+#: holders of a token from which they are dealt to several buckets.
+BLOCK_WALKS, BUCKET_RECORDS, MANY_HOLDERS = 30_000, 20_000, 100_000
+
+#: Tokens drawn beforehand with which walks may leave a record that they enter by one of its tokens.
+DRAWS = 2
 WALKS, WALK_TOKENS, WINDOW, NEGATIVES, RATE = 2, 8, 2, 3, 0.025
 
 #: Leading directions removed from the trained vectors.
@@ -51,7 +55,7 @@ TITLE_SHARE = 0.75
 #: Years that two records of one book may lie apart.
 YEAR_GAP = 2
 
-#: Pairs the curve of the confidence is fitted on, at most; and by how much a pair must lead.
+#: Pairs of each kind that the curve of the confidence weighs as, at most; and by how much a pair must lead.
 FIT_PAIRS, LEAD = 20_000, 0.15
 
 
@@ -91,22 +95,9 @@ def walk_sequences(records: list[list[tuple[int, int, float]]], rng: np.random.G
     return walks.tolist()
 
 
-def _add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """Add rows to those of a table, some of them to the same one."""
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    table[at[begins]] += np.add.reduceat(rows[order], begins, axis=0)
-
-
-def train_vectors(sequences: list[list[int]], size: int = 0, seed: int = 0) -> np.ndarray:
-    """Skip-gram with negative sampling over tokens numbered from 0, at least ``size`` of them."""
-    rng = np.random.default_rng(seed)
-    size = max([size, *(max(s) + 1 for s in sequences)])
-    vectors = (rng.standard_normal((size, DIMENSIONS)) / np.sqrt(DIMENSIONS)).astype(np.float32)
-    if not sequences:
-        return vectors
-    walks = np.array(sequences)
+def skip_grams(walks: np.ndarray, start: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Skip-gram with negative sampling over the walked numbers of tokens, from ``start`` on."""
+    vectors = start.copy()
     pairs = [
         np.stack([walks[:, i], walks[:, j]], axis=2)
         for s in range(1, WINDOW + 1)
@@ -126,32 +117,46 @@ def train_vectors(sequences: list[list[int]], size: int = 0, seed: int = 0) -> n
         error = 1 / (1 + np.exp(-np.einsum("nd,nkd->nk", v, c)))
         error[:, 0] -= 1
         error *= RATE
-        _add_rows(vectors, centre, -np.einsum("nk,nkd->nd", error, c))
-        _add_rows(context, wanted.reshape(-1), -(error[:, :, None] * v[:, None, :]).reshape(-1, DIMENSIONS))
-    # what all walked tokens have in common tells no records apart and would crowd the slots
-    walked = vectors[seen] - vectors[seen].mean(axis=0)
-    top = np.linalg.svd(walked.T @ walked)[0][:, :COMMON_DIRECTIONS]
-    vectors[seen] = walked - walked @ top @ top.T
-    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-
-
-class TokenVectors:
-    """Trained vectors by token; a token that no walk met has the signs of its own hash."""
-
-    def __init__(self, tokens: np.ndarray, vectors: np.ndarray):
-        self.tokens, self.vectors = tokens, vectors
-
-    def of(self, tokens: np.ndarray) -> np.ndarray:
-        mixed = tokens.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-        signs = np.unpackbits(np.ascontiguousarray(mixed).view(np.uint8).reshape(-1, 8), axis=1)
-        out = (signs.astype(np.float32) - np.float32(0.5)) * np.float32(2 / np.sqrt(DIMENSIONS))
-        if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-            known = self.tokens[at] == tokens
-            out[known] = self.vectors[at[known]]
-        return out
+        np.add.at(vectors, centre, -np.einsum("nk,nkd->nd", error, c))
+        np.add.at(context, wanted.reshape(-1), -(error[:, :, None] * v[:, None, :]).reshape(-1, DIMENSIONS))
+    return vectors
+
+
+def without_common(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors without what all have in common, which tells no records apart and would crowd the slots."""
+    vectors = vectors - vectors.mean(axis=0)
+    top = np.linalg.svd(vectors.T @ vectors)[0][:, :COMMON_DIRECTIONS]
+    return _unit(vectors - vectors @ top @ top.T)
+
+
+def train_vectors(sequences: list[list[int]], size: int = 0, seed: int = 0) -> np.ndarray:
+    """Vectors of tokens numbered from 0, at least ``size`` of them."""
+    rng = np.random.default_rng(seed)
+    size = max([size, *(max(s) + 1 for s in sequences)])
+    vectors = (rng.standard_normal((size, DIMENSIONS)) / np.sqrt(DIMENSIONS)).astype(np.float32)
+    if not sequences:
+        return vectors
+    walks = np.array(sequences)
+    vectors, seen = skip_grams(walks, vectors, rng), np.unique(walks)
+    vectors[seen] = without_common(vectors[seen])
+    return _unit(vectors)
+
+
+def _mixed(numbers: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Numbers of 64 bits that look random."""
+    mixed = (numbers.view(np.uint64) + np.uint64(salt * 0x632BE59BD9B4E019 % 2**64)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def _chance(numbers: np.ndarray, salt: int) -> np.ndarray:
+    return (_mixed(_mixed(numbers).view(np.int64), salt) >> np.uint64(11)) / float(1 << 53)
+
+
+def _signs(tokens: np.ndarray) -> np.ndarray:
+    """Unit vectors with the signs of the tokens' own hashes."""
+    signs = np.unpackbits(np.ascontiguousarray(_mixed(tokens)).view(np.uint8).reshape(-1, 8), axis=1)
+    return (signs.astype(np.float32) - np.float32(0.5)) * np.float32(2 / np.sqrt(DIMENSIONS))
 
 
 def _weight(n_records: int) -> Column:
@@ -163,18 +168,208 @@ def _weight(n_records: int) -> Column:
     return F.when(F.col("df").isNull(), 0.0).otherwise(F.pow(rarity, 2) * F.sqrt("n")).cast("float")
 
 
-def fit_vectors(tokens: DataFrame, counts: dict[int, int]) -> TokenVectors:
-    """Token vectors from walks over a uniform sample of the records of both sides."""
-    scale = 1 << 30
-    share = F.element_at(F.create_map(*[F.lit(x) for side, n in counts.items() for x in (side, int(min(1.0, SAMPLE_RECORDS / max(1, n)) * scale))]), F.col("side"))
-    drawn = tokens.where("df is not null").where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(scale)) < share)
-    table = drawn.select("side", F.xxhash64("id").alias("id"), "attr", "token", _weight(sum(counts.values())).alias("w")).toArrow().to_pandas().sort_values(["side", "id", "attr", "token"])
-    names, numbers = np.unique(table["token"].to_numpy(np.int64), return_inverse=True)
-    rows = list(zip(table["attr"].tolist(), numbers.tolist(), table["w"].tolist()))
-    side, ids = table["side"].to_numpy(), table["id"].to_numpy()
-    cuts = [0, *(np.flatnonzero((side[1:] != side[:-1]) | (ids[1:] != ids[:-1])) + 1).tolist(), len(rows)]
-    records = [rows[i:j] for i, j in zip(cuts, cuts[1:]) if j > i]
-    return TokenVectors(names, train_vectors(walk_sequences(records, np.random.default_rng(1)), len(names)))
+def _leaving(key: np.ndarray, attr: np.ndarray, w: np.ndarray, times: int, each_row: bool, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows drawn by and the rows drawn: ``times`` for each row, or for each record.
+
+    The rows of a record, by attribute, lie side by side. It is left by any of its
+    attributes, each alike, then by one of the attribute's tokens by weight.
+    """
+    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(begins, len(key)))
+    group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (attr[1:] != attr[:-1])]))
+    running = np.concatenate([[0.0], np.cumsum(w / np.bincount(group, weights=w)[group])])
+    who = np.repeat(np.arange(len(begins)), sizes) if each_row else np.arange(len(begins))
+    rows = np.arange(len(key)) if each_row else begins
+    who, rows = np.repeat(who, times), np.repeat(rows, times)
+    first, last = begins[who], begins[who] + sizes[who]
+    turn = np.tile(np.arange(times), len(who) // times)
+    u = _chance(key[rows] + (rows - first) * 64 + turn, salt)
+    place = np.searchsorted(running, running[first] + u * (running[last] - running[first]), "right") - 1
+    return rows, np.clip(place, first, last - 1)
+
+
+def _dealt(buckets: np.ndarray, kind: int, data: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Rows ``bucket, kind, data`` with the rows of numbers of each bucket."""
+    order = np.argsort(buckets, kind="stable")
+    found, begins = np.unique(buckets[order], return_index=True)
+    return [(int(k), kind, np.ascontiguousarray(part).tobytes()) for k, part in zip(found, np.split(data[order], begins[1:]))]
+
+
+_PACKED = "bucket int, kind int, data binary"
+
+
+def _packed_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "data"])
+
+
+def walk_all(tokens: DataFrame, n_records: int, n_last: int) -> DataFrame:
+    """Packed ``bucket, kind, data``: ``WALKS`` random walks from every record, each its key and ``WALK_TOKENS`` tokens.
+
+    A walk leaves a record by a token and enters any record that has it. To leave that one it
+    takes a token that was drawn for this record and the token it came by, so all that a
+    walk needs next lies with its last token: the walks travel to the buckets of their last
+    tokens, all walks one step at a time. A token of very many records has several buckets.
+    At the end the walks are dealt to ``n_last`` buckets at random.
+    """
+    n_buckets = int(max(6, n_records // BUCKET_RECORDS))
+    bridging = tokens.where("df is not null")
+    hot = bridging.where(F.col("df") > MANY_HOLDERS).select("token", "df").distinct().toArrow().to_pandas().sort_values("token")
+    hot_tokens, hot_parts = hot["token"].to_numpy(np.int64), 1 + hot["df"].to_numpy(np.int64) // MANY_HOLDERS
+
+    def slot(token, number):
+        """The part of a token that a holder or a walk comes to."""
+        if not len(hot_tokens):
+            return _mixed(token).view(np.int64)
+        at = np.minimum(np.searchsorted(hot_tokens, token), len(hot_tokens) - 1)
+        parts = np.where(hot_tokens[at] == token, hot_parts[at], 1)
+        return (_mixed(token) + (_chance(number, 7) * parts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+    bucket = lambda slots: (_mixed(slots, 3) % np.uint64(n_buckets)).astype(np.int64)
+
+    def begin(batches):
+        def out(key, attr, token, w):
+            rows, drawn = _leaving(key, attr, w, DRAWS, True, 1)
+            slots = slot(token, key)
+            pool = np.column_stack([slots, token[drawn].reshape(-1, DRAWS)])
+            rows, drawn = _leaving(key, attr, w, WALKS, False, 2)
+            walk = key[rows] + np.tile(np.arange(WALKS), len(rows) // WALKS)
+            walks = np.column_stack([walk, token[drawn]])
+            return _packed_rows(_dealt(bucket(slots), 0, pool) + _dealt(bucket(slot(walks[:, 1].copy(), walk)), 1, walks))
+
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy() for c in batch.columns])
+                n += batch.num_rows
+            if n >= 1 << 19:
+                rows = [np.concatenate(c) for c in zip(*held)]
+                whole = int((rows[0] != rows[0][-1]).sum())
+                if whole:
+                    yield out(*(c[:whole] for c in rows))
+                held, n = [[c[whole:] for c in rows]], len(rows[0]) - whole
+        if n:
+            yield out(*(np.concatenate(c) for c in zip(*held)))
+
+    rows = bridging.select(F.xxhash64("side", "id").alias("key"), F.col("attr").cast("int").alias("attr"), "token", _weight(n_records).cast("double").alias("w"))
+    started = cut(rows.repartition("key").sortWithinPartitions("key", "attr", "token").mapInArrow(begin, _PACKED))
+    pool, walks = started.where("kind = 0"), started.where("kind = 1")
+
+    def step(done: int):
+        def run(group: pa.Table) -> pa.Table:
+            kinds, data = group["kind"].to_pylist(), group["data"].to_pylist()
+            stand, walk = (np.frombuffer(b"".join(d for k, d in zip(kinds, data) if k == kind), np.int64).reshape(-1, width) for kind, width in ((0, 1 + DRAWS), (1, 1 + done)))
+            stand = stand[np.lexsort(stand.T)]
+            walk = walk[np.lexsort(walk.T)]
+            last = walk[:, -1].copy()
+            here = slot(last, walk[:, 0] + done - 1)
+            low, high = (np.searchsorted(stand[:, 0], here, side) for side in ("left", "right"))
+            pick = (_chance(walk[:, 0].copy(), 10 + done) * (high - low) * DRAWS).astype(np.int64)
+            # a part of a token that no holder came to ends the walk's way: it stays with its token
+            fresh = np.where(high > low, stand[np.minimum(low + pick // DRAWS, len(stand) - 1), 1 + pick % DRAWS], last) if len(stand) else last
+            goes = np.column_stack([walk, fresh])
+            to = bucket(slot(fresh.copy(), walk[:, 0] + done)) if done + 1 < WALK_TOKENS else (_mixed(walk[:, 0].copy(), 5) % np.uint64(n_last)).astype(np.int64)
+            return pa.Table.from_batches([_packed_rows(_dealt(to, 1, goes))])
+
+        return run
+
+    for done in range(1, WALK_TOKENS):
+        moved = cut(pool.unionByName(walks).groupBy("bucket").applyInArrow(step(done), _PACKED))
+        if done > 1:
+            release(walks)
+        walks = moved
+    release(started)
+    return walks
+
+
+def fit_vectors(tokens: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``token, vector`` in steps of 1/127, from walks that begin at every record of both sides.
+
+    Tasks train on blocks of the walks, all from the signs of the tokens' hashes; what
+    each block adds to a token is summed up over all blocks. What all vectors have in common is
+    taken from their sums, so the driver receives one row a task.
+    """
+    n_records = sum(counts.values())
+    n_parts = max(6, -(-n_records * WALKS // BLOCK_WALKS))
+    walks = walk_all(tokens, n_records, 8 * n_parts)
+
+    def train(batches):
+        def block(data):
+            walk = np.frombuffer(b"".join(data), np.int64).reshape(-1, 1 + WALK_TOKENS)
+            walk = walk[np.lexsort(walk.T)]
+            names, numbers = np.unique(walk[:, 1:], return_inverse=True)
+            start = _signs(names)
+            gained = skip_grams(numbers.reshape(-1, WALK_TOKENS), start, np.random.default_rng(1)) - start
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in gained.astype(np.float16)], pa.binary())], names=["token", "gained"])
+
+        held, n = [], 0
+        for batch in batches:
+            for data in batch.column(2).to_pylist():
+                held.append(data)
+                n += len(data) // (8 + 8 * WALK_TOKENS)
+                if n >= 2 * BLOCK_WALKS:
+                    yield block(held)
+                    held, n = [], 0
+        if n:
+            yield block(held)
+
+    def merge(batches):
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token = batch.column(0).to_numpy()
+            begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            names = token[begins]
+            sums = np.add.reduceat(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float16).reshape(-1, DIMENSIONS).astype(np.float32), begins, axis=0)
+            if kept is not None and kept[0] == names[0]:
+                sums[0] += kept[1]
+            elif kept is not None:
+                names, sums = np.concatenate([[kept[0]], names]), np.concatenate([kept[1][None], sums])
+            kept = names[-1], sums[-1]
+            yield whole(names[:-1], sums[:-1])
+        if kept is not None:
+            yield whole(np.array([kept[0]]), kept[1][None])
+
+    def whole(names, sums):
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in _unit(_signs(names) + sums).astype(np.float16)], pa.binary())], names=["token", "vector"])
+
+    gained = walks.repartition(n_parts, "bucket").mapInArrow(train, "token bigint, gained binary")
+    found = cut(gained.repartition("token").sortWithinPartitions("token").mapInArrow(merge, "token bigint, vector binary"))
+    release(walks)
+
+    def floats(column):
+        return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
+
+    def sums(batches):
+        total = np.zeros((DIMENSIONS + 1, DIMENSIONS + 1))
+        for batch in batches:
+            v = np.column_stack([floats(batch.column(1)).astype(float), np.ones(batch.num_rows)])
+            total += v.T @ v
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    total = sum((np.frombuffer(r["sums"]).reshape(DIMENSIONS + 1, -1) for r in found.mapInArrow(sums, "sums binary").collect()), np.zeros((DIMENSIONS + 1, DIMENSIONS + 1)))
+    n = max(1.0, total[-1, -1])
+    mean = total[-1, :-1] / n
+    top = np.linalg.svd(total[:-1, :-1] - n * np.outer(mean, mean))[0][:, :COMMON_DIRECTIONS]
+
+    def centre(batches):
+        for batch in batches:
+            v = floats(batch.column(1)) - mean
+            whole = np.rint(_unit(v - v @ top @ top.T) * 127).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in whole], pa.binary())], names=["token", "vector"])
+
+    vectors = cut(found.mapInArrow(centre, "token bigint, vector binary"))
+    release(found)
+    return vectors
+
+
+def vectors_of(tokens: np.ndarray, known: pa.Array) -> np.ndarray:
+    """The trained vectors of tokens; one that no walk met, null in ``known``, has the signs of its own hash."""
+    out = _signs(tokens)
+    there = known.is_valid().to_numpy(zero_copy_only=False)
+    out[there] = np.frombuffer(b"".join(known.drop_null().to_pylist()), np.int8).reshape(-1, DIMENSIONS) / np.float32(127)
+    return out
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -193,7 +388,7 @@ def _unpacked(column: pa.Array) -> np.ndarray:
     return _unit(whole.astype(np.float32))
 
 
-def record_vectors(tokens: DataFrame, model: TokenVectors, n_records: int) -> DataFrame:
+def record_vectors(tokens: DataFrame, model: DataFrame, n_records: int) -> DataFrame:
     """``side, id, trust, vector``: for each attribute the normalised sum of the vectors of all its tokens.
 
     ``trust`` says for each attribute what a cosine is worth: for titles and persons the root
@@ -202,7 +397,6 @@ def record_vectors(tokens: DataFrame, model: TokenVectors, n_records: int) -> Da
     The rows of a record come one after the other and are summed as they pass, so a record
     with any number of tokens needs no more room than its vectors.
     """
-    held = tokens.sparkSession.sparkContext.broadcast(model)
     kind, id_type, n_attrs = tokens.schema["id"].dataType.simpleString(), to_arrow_type(tokens.schema["id"].dataType), len(ATTRIBUTES)
     one_name = max(1e-9, np.log(max(3, n_records) / 2) ** 2)
 
@@ -221,12 +415,12 @@ def record_vectors(tokens: DataFrame, model: TokenVectors, n_records: int) -> Da
         for batch in batches:
             if not batch.num_rows:
                 continue
-            side, ids, attr, token, w = batch.columns
+            side, ids, attr, token, w, known = batch.columns
             side, attr, w = side.to_numpy(), attr.to_numpy(), w.to_numpy()
             coded = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)
             fresh = np.concatenate([[True], (coded[1:] != coded[:-1]) | (side[1:] != side[:-1])])
             begins = np.flatnonzero(fresh | np.concatenate([[True], attr[1:] != attr[:-1]]))
-            sums = np.add.reduceat(held.value.of(token.to_numpy()) * w[:, None], begins, axis=0)
+            sums = np.add.reduceat(vectors_of(token.to_numpy(), known) * w[:, None], begins, axis=0)
             n = np.add.reduceat(np.stack([np.ones(len(w)), w > 0], axis=1), begins, axis=0)
             record = np.cumsum(fresh)[begins] - 1
             block, counts = np.zeros((record[-1] + 1, n_attrs, DIMENSIONS), np.float32), np.zeros((record[-1] + 1, n_attrs, 2))
@@ -245,7 +439,7 @@ def record_vectors(tokens: DataFrame, model: TokenVectors, n_records: int) -> Da
             yield out([key], seen[None], total[None])
 
     # one shuffle by id; the order makes the rows of a record neighbours (the id first, as it sorts fastest)
-    rows = tokens.select("side", "id", F.col("attr").cast("int").alias("attr"), "token", _weight(n_records).alias("w")).repartition("id").sortWithinPartitions("id", "side", "attr")
+    rows = tokens.join(model, "token", "left").select("side", "id", F.col("attr").cast("int").alias("attr"), "token", _weight(n_records).alias("w"), "vector").repartition("id").sortWithinPartitions("id", "side", "attr")
     return rows.mapInArrow(run, f"side int, id {kind}, trust array<float>, vector binary")
 
 
@@ -475,7 +669,9 @@ def match_records(left: DataFrame, right: DataFrame, left_info: DataFrame, right
     bridge = tokens.groupBy("token").agg(F.count_if(F.col("side") == 0).alias("nl"), F.count_if(F.col("side") == 1).alias("nr")).where("nl > 0 and nr > 0")
     bridged = cut(tokens.join(bridge.select("token", (F.col("nl") + F.col("nr")).cast("int").alias("df")), "token", "left").where((F.col("attr") != ATTRIBUTES["name"]) | F.col("df").isNotNull()))
     release(tokens)
-    vectors = cut(record_vectors(bridged, fit_vectors(bridged, counts), sum(counts.values())))
+    model = fit_vectors(bridged, counts)
+    vectors = cut(record_vectors(bridged, model, sum(counts.values())))
+    release(model)
     lists = cut(title_lists(bridged))
     known = [bridged.where((F.col("side") == k) & F.col("df").isNotNull()).drop("side") for k in (0, 1)]
     infos = [left_info.groupBy("id").agg(F.max("year").alias("year"), F.max("volume").alias("volume")), right_info.groupBy("id").agg(F.max("year").alias("year"), F.max("volumes").alias("volumes"))]
@@ -501,8 +697,8 @@ def _calibrate(scored: DataFrame) -> np.ndarray:
     where persons and names are missing,
     and of two that name other persons nearly all names must agree. Different are the nearest that agree in one alone, as the same title makes no
     match, and those that another one of the left record leads by as much. The labels come
-    from these orders, the curve from the values. Of each kind at most ``FIT_PAIRS`` pairs
-    are drawn, uniformly.
+    from these orders, the curve from the values of all these pairs. A kind with more than
+    ``FIT_PAIRS`` pairs weighs as much as so many.
     """
     agree = sum((F.coalesce(F.col(c) >= 0.6, F.lit(False)).cast("int") for c in ATTRIBUTES), F.coalesce(F.col("person").isNull() & F.col("name").isNull() & (F.col("title") >= 0.8) & (F.col("gap") <= YEAR_GAP), F.lit(False)).cast("int"))
     doubt = F.coalesce((F.col("person") < 0.25) & (F.coalesce("name", F.lit(0.0)) < 0.85), F.lit(False))
@@ -516,19 +712,31 @@ def _calibrate(scored: DataFrame) -> np.ndarray:
         leads = leads.join(ahead.agg(F.max("cosine").alias(f"top_{side}"), F.min(F.when(F.col("_r") == 2, F.col("cosine"))).alias(f"next_{side}")), side)
     first = [(F.col("cosine") == F.col(f"top_{s}")) & (F.col("cosine") - F.coalesce(F.col(f"next_{s}"), F.lit(0.0)) >= LEAD) for s in ("left_id", "right_id")]
     same = F.when(first[0] & first[1], (F.col("agree") >= 2).cast("double")).when(F.col("top_left_id") - F.col("cosine") >= LEAD, 0.0)
-    chance = F.pmod(F.xxhash64(F.lit("fit"), "left_id", "right_id"), F.lit(1 << 30))
-    known = cut(leads.select(same.alias("same"), chance.alias("chance"), *[f"f{i}" for i in range(len(_features()))]).where("same is not null"))
+    n_features = len(_features())
+    known = cut(leads.select(same.alias("same"), *[f"f{i}" for i in range(n_features)]).where("same is not null"))
     sizes = {r["same"]: r["n"] for r in known.groupBy("same").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bound = F.when(F.col("same") == 1.0, min(1.0, FIT_PAIRS / max(1, sizes.get(1.0, 0))) * (1 << 30)).otherwise(min(1.0, FIT_PAIRS / max(1, sizes.get(0.0, 0))) * (1 << 30))
-    rows = known.where(F.col("chance") < bound).drop("chance").toArrow().to_pandas().to_numpy(float)
-    release(known)
     if len(sizes) < 2:
+        release(known)
         return np.array([6.0, 3.0, 5.0, -3.0, -2.0, 1.0, -1.0, -6.0])
-    rows = rows[np.lexsort(rows.T)]
-    y, x = rows[:, 0], np.column_stack([rows[:, 1:], np.ones(len(rows))])
-    beta = np.zeros(x.shape[1])
+    share = [min(1.0, FIT_PAIRS / sizes[k]) for k in (0.0, 1.0)]
+    beta = np.zeros(n_features + 1)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hessian = x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(len(beta))
-        beta += np.linalg.solve(hessian, x.T @ (y - p) - 1e-2 * beta)
+
+        def sums(batches, beta=beta):
+            total = np.zeros((len(beta), len(beta) + 1))
+            for batch in batches:
+                y, *x = (c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns)
+                x = np.column_stack([*x, np.ones(len(y))])
+                p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+                worth = np.where(y == 1, share[1], share[0])
+                total[:, :-1] += x.T @ (x * (worth * p * (1 - p))[:, None])
+                total[:, -1] += x.T @ (worth * (y - p))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        total = np.sum([np.frombuffer(r["sums"]).reshape(len(beta), -1) for r in known.mapInArrow(sums, "sums binary").collect()], axis=0)
+        change = np.linalg.solve(total[:, :-1] + 1e-2 * np.eye(len(beta)), total[:, -1] - 1e-2 * beta)
+        beta = beta + change
+        if np.abs(change).max() < 1e-6:
+            break
+    release(known)
     return beta

@@ -3,9 +3,10 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from quire.operators import representatives, sampling, shared_spans, terms
+from quire.operators import matching, representatives, sampling, shared_spans, terms
 from quire.operators.matching import match_records, walk_sequences, train_vectors
 from pyspark.sql import functions as F
 
@@ -227,3 +228,23 @@ def test_best_records_without_the_optional_subpackage(spark, tmp_path, monkeypat
     spark.createDataFrame(data, "book_id long, work_id long, description string, language_code string, updated_at int").write.parquet(f"{tmp_path}/goodreads_books.parquet")
     got = {tuple(r) for r in problems.p4_found(spark, str(tmp_path)).select("work_id", "description_book_id", "language_book_id").collect()}
     assert got == {(7, 1, 3), (9, 0, 0)}
+
+def test_every_record_takes_part_in_the_training(spark):
+    # 7,000 records a side, each pair with a token of its own and one of seven that many have
+    rows = [(side, i, k, token, 1, df) for side in (0, 1) for i in range(7000) for k, token, df in ((2, 1000 + i, 2), (0, i % 7, 2000))]
+    tokens = spark.createDataFrame(rows, "side int, id int, attr tinyint, token bigint, n int, df int")
+    model = {r["token"]: np.frombuffer(r["vector"], np.int8) / 127 for r in matching.fit_vectors(tokens, {0: 7000, 1: 7000}).collect()}
+    found = set(model)  # no walk may come by a token or two
+    assert found <= {*range(7), *range(1000, 8000)} and len(found) > 0.99 * 7007
+
+
+def test_walks_of_all_records_keep_to_the_graph(spark, monkeypatch):
+    monkeypatch.setattr(matching, "MANY_HOLDERS", 20)
+    rows = [(i % 2, i, k, token, 1, df) for i in range(100) for k, token, df in ((0, 5, 100), (2, 100 + i // 4, 4))]
+    tokens = spark.createDataFrame(rows, "side int, id int, attr tinyint, token bigint, n int, df int")
+    walks = [np.frombuffer(r["data"], np.int64).reshape(-1, 1 + matching.WALK_TOKENS) for r in matching.walk_all(tokens, 100, 3).collect()]
+    walks = np.concatenate(walks)[:, 1:]
+    assert len(walks) == 100 * matching.WALKS
+    # a record has token 5 and one other, so no step leads from one of these to another
+    assert all(a == b or 5 in (a, b) for w in walks.tolist() for a, b in zip(w, w[1:]))
+    assert {t for w in walks.tolist() for t in w} == {5, *range(100, 125)}
