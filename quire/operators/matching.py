@@ -259,7 +259,7 @@ def walk_all(tokens: DataFrame, n_records: int, n_last: int) -> DataFrame:
         def run(group: pa.Table) -> pa.Table:
             kinds, data = group["kind"].to_pylist(), group["data"].to_pylist()
             stand, walk = (np.frombuffer(b"".join(d for k, d in zip(kinds, data) if k == kind), np.int64).reshape(-1, width) for kind, width in ((0, 1 + DRAWS), (1, 1 + done)))
-            stand = stand[np.lexsort(stand.T)]
+            stand = stand[np.lexsort(stand.T[::-1])]
             walk = walk[np.lexsort(walk.T)]
             last = walk[:, -1].copy()
             here = slot(last, walk[:, 0] + done - 1)
