@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..runtime import cut, release
+from ..runtime import cut, cut_in_buckets, release
 from .representatives import top_per_group
 
 #: Attribute nodes of the graph; a record has a vector of so many dimensions for each.
@@ -23,6 +23,9 @@ BLOCK_WALKS, BUCKET_RECORDS, MANY_HOLDERS = 30_000, 20_000, 100_000
 DRAWS = 2
 WALKS, WALK_TOKENS, WINDOW, NEGATIVES, RATE = 2, 8, 2, 3, 0.025
 
+#: Walks of a step of the training, and tokens drawn against each walk.
+STEP_WALKS, NOISE = 160, 8
+
 #: Leading directions removed from the trained vectors.
 COMMON_DIRECTIONS = 2
 
@@ -95,30 +98,47 @@ def walk_sequences(records: list[list[tuple[int, int, float]]], rng: np.random.G
     return walks.tolist()
 
 
+def _add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """``table[at] += rows``, where places may come again."""
+    order = np.argsort(at, kind="stable")
+    begins = np.flatnonzero(np.concatenate([[True], at[order[1:]] != at[order[:-1]]]))
+    sizes, places = np.diff(np.append(begins, len(at))), at[order[begins]]
+    # places that come a few times take a row at a time, the others have theirs summed up
+    few = 3
+    for turn in range(few):
+        here = np.flatnonzero(sizes > turn)
+        table[places[here]] += rows[order[begins[here] + turn]]
+    many = np.flatnonzero(sizes > few)
+    if len(many):
+        rest = np.arange(len(at)) - np.repeat(begins, sizes) >= few
+        table[places[many]] += np.add.reduceat(rows[order[rest]], np.cumsum(sizes[many] - few) - (sizes[many] - few), axis=0)
+
+
 def skip_grams(walks: np.ndarray, start: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Skip-gram with negative sampling over the walked numbers of tokens, from ``start`` on."""
-    vectors = start.copy()
-    pairs = [
-        np.stack([walks[:, i], walks[:, j]], axis=2)
-        for s in range(1, WINDOW + 1)
-        for i, j in [(slice(None, -s), slice(s, None)), (slice(s, None), slice(None, -s))]
-    ]
-    pairs = np.concatenate([p.reshape(-1, 2) for p in pairs])
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    rng.shuffle(pairs)
+    """Skip-gram with negative sampling over the walked numbers of tokens, from ``start`` on.
+
+    All pairs of a walk are trained on at once. Its tokens share ``NOISE`` tokens drawn against
+    them, which weigh together what ``NEGATIVES`` of its own would for each pair.
+    """
+    vectors, context = start.copy(), np.zeros_like(start)
     seen, counts = np.unique(walks, return_counts=True)
     noise = np.cumsum(counts**0.75)
-    context = np.zeros_like(vectors)
-    for i in range(0, len(pairs), 4096):
-        centre, target = pairs[i : i + 4096, 0], pairs[i : i + 4096, 1]
-        others = seen[np.searchsorted(noise, rng.random((len(centre), NEGATIVES)) * noise[-1])]
-        wanted = np.concatenate([target[:, None], others], axis=1)
-        v, c = vectors[centre], context[wanted]
-        error = 1 / (1 + np.exp(-np.einsum("nd,nkd->nk", v, c)))
-        error[:, 0] -= 1
-        error *= RATE
-        np.add.at(vectors, centre, -np.einsum("nk,nkd->nd", error, c))
-        np.add.at(context, wanted.reshape(-1), -(error[:, :, None] * v[:, None, :]).reshape(-1, DIMENSIONS))
+    apart = np.abs(np.subtract.outer(np.arange(walks.shape[1]), np.arange(walks.shape[1])))
+    close = (apart > 0) & (apart <= WINDOW)
+    walks = walks[rng.permutation(len(walks))]
+    for i in range(0, len(walks), STEP_WALKS):
+        part = walks[i : i + STEP_WALKS]
+        others = seen[np.searchsorted(noise, rng.random((len(part), NOISE)) * noise[-1])]
+        beside = np.concatenate([part, others], axis=1)
+        pairs = close & (part[:, :, None] != part[:, None, :])
+        v, c = vectors[part], context[beside]
+        error = 1 / (1 + np.exp(-(v @ c.transpose(0, 2, 1))))
+        error[:, :, : part.shape[1]] -= 1
+        error[:, :, : part.shape[1]] *= pairs
+        error[:, :, part.shape[1] :] *= (pairs.sum(axis=2) * np.float32(NEGATIVES / NOISE)).astype(np.float32)[:, :, None]
+        error *= np.float32(-RATE)
+        _add_rows(vectors, part.reshape(-1), (error @ c).reshape(-1, DIMENSIONS))
+        _add_rows(context, beside.reshape(-1), (error.transpose(0, 2, 1) @ v).reshape(-1, DIMENSIONS))
     return vectors
 
 
@@ -253,13 +273,24 @@ def walk_all(tokens: DataFrame, n_records: int, n_last: int) -> DataFrame:
 
     rows = bridging.select(F.xxhash64("side", "id").alias("key"), F.col("attr").cast("int").alias("attr"), "token", _weight(n_records).cast("double").alias("w"))
     started = cut(rows.repartition("key").sortWithinPartitions("key", "attr", "token").mapInArrow(begin, _PACKED))
-    pool, walks = started.where("kind = 0"), started.where("kind = 1")
+    walks = started.where("kind = 1")
+
+    def gather(batches):
+        held = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                held.setdefault(k, []).append(data)
+        for k in list(held):
+            stand = np.frombuffer(b"".join(held.pop(k)), np.int64).reshape(-1, 1 + DRAWS)
+            yield _packed_rows([(k, 0, stand[np.lexsort(stand.T[::-1])].tobytes())])
+
+    # all steps read the holders where they lie, only the walks move
+    n_tables = max(n_buckets, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pool = cut_in_buckets(started.where("kind = 0").repartition(n_tables, "bucket").mapInArrow(gather, _PACKED), n_tables, "bucket")
 
     def step(done: int):
-        def run(group: pa.Table) -> pa.Table:
-            kinds, data = group["kind"].to_pylist(), group["data"].to_pylist()
-            stand, walk = (np.frombuffer(b"".join(d for k, d in zip(kinds, data) if k == kind), np.int64).reshape(-1, width) for kind, width in ((0, 1 + DRAWS), (1, 1 + done)))
-            stand = stand[np.lexsort(stand.T[::-1])]
+        def run(held: pa.Table, group: pa.Table) -> pa.Table:
+            stand, walk = (np.frombuffer(b"".join(t["data"].to_pylist()), np.int64).reshape(-1, width) for t, width in ((held, 1 + DRAWS), (group, 1 + done)))
             walk = walk[np.lexsort(walk.T)]
             last = walk[:, -1].copy()
             here = slot(last, walk[:, 0] + done - 1)
@@ -274,11 +305,11 @@ def walk_all(tokens: DataFrame, n_records: int, n_last: int) -> DataFrame:
         return run
 
     for done in range(1, WALK_TOKENS):
-        moved = cut(pool.unionByName(walks).groupBy("bucket").applyInArrow(step(done), _PACKED))
+        moved = cut(pool.groupBy("bucket").cogroup(walks.groupBy("bucket")).applyInArrow(step(done), _PACKED))
         if done > 1:
             release(walks)
         walks = moved
-    release(started)
+    release(started, pool)
     return walks
 
 
@@ -388,19 +419,30 @@ def _unpacked(column: pa.Array) -> np.ndarray:
     return _unit(whole.astype(np.float32))
 
 
+_LISTS, _LISTS_SCHEMA = ["titles", "persons", "nt", "np"], "titles array<bigint>, persons array<bigint>, nt bigint, np bigint"
+
+
 def record_vectors(tokens: DataFrame, model: DataFrame, n_records: int) -> DataFrame:
     """``side, id, trust, vector``: for each attribute the normalised sum of the vectors of all its tokens.
 
+    ``titles`` and ``persons`` are the bridging tokens of title, the rarest first, and person;
+    ``nt`` and ``np`` count those that do not bridge, too.
     ``trust`` says for each attribute what a cosine is worth: for titles and persons the root
     of the share of their tokens that bridge, for names the weight of the sum against that of
     one name of two holders, at most 1. It is negative where a record lacks the attribute.
     The rows of a record come one after the other and are summed as they pass, so a record
-    with any number of tokens needs no more room than its vectors.
+    with any number of names needs no more room than its vectors.
     """
     kind, id_type, n_attrs = tokens.schema["id"].dataType.simpleString(), to_arrow_type(tokens.schema["id"].dataType), len(ATTRIBUTES)
     one_name = max(1e-9, np.log(max(3, n_records) / 2) ** 2)
 
-    def out(keys, counts, block):
+    def lists(n, rows):
+        """The tokens of each of ``n`` records as lists, from rows ``record, df, token``."""
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(rows[:, 0], minlength=n))]).astype(np.int32)
+        return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(rows[:, 2])))
+
+    def out(keys, counts, block, rows):
         sides, ids = zip(*keys)
         trust = np.sqrt(counts[:, :, 1] / np.maximum(counts[:, :, 0], 1))
         name = ATTRIBUTES["name"]
@@ -408,14 +450,16 @@ def record_vectors(tokens: DataFrame, model: DataFrame, n_records: int) -> DataF
         trust[counts[:, :, 0] == 0] = -1
         offsets = np.arange(0, trust.size + 1, n_attrs, dtype=np.int32)
         columns = [pa.array(sides, pa.int32()), pa.array(ids, id_type), pa.ListArray.from_arrays(offsets, pa.array(trust.reshape(-1).astype(np.float32))), _packed(_unit(block))]
-        return pa.RecordBatch.from_arrays(columns, names=["side", "id", "trust", "vector"])
+        listed = [ATTRIBUTES["title"], ATTRIBUTES["person"]]
+        columns += [lists(len(keys), rows[rows[:, 3] == a][:, :3]) for a in listed] + [pa.array(counts[:, a, 0].astype(np.int64)) for a in listed]
+        return pa.RecordBatch.from_arrays(columns, names=["side", "id", "trust", "vector", *_LISTS])
 
     def run(batches):
-        key, seen, total = None, None, None
+        key, seen, total, open_rows = None, None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            side, ids, attr, token, w, known = batch.columns
+            side, ids, attr, token, w, known, df = batch.columns
             side, attr, w = side.to_numpy(), attr.to_numpy(), w.to_numpy()
             coded = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)
             fresh = np.concatenate([[True], (coded[1:] != coded[:-1]) | (side[1:] != side[:-1])])
@@ -427,20 +471,25 @@ def record_vectors(tokens: DataFrame, model: DataFrame, n_records: int) -> DataF
             block[record, attr[begins]], counts[record, attr[begins]] = sums, n
             starts = np.flatnonzero(fresh)
             keys = list(zip(side[starts].tolist(), ids.take(pa.array(starts)).to_pylist()))
+            rows = np.column_stack([np.cumsum(fresh) - 1, df.fill_null(0).to_numpy(), token.to_numpy(), attr])
+            rows = rows[(attr != ATTRIBUTES["name"]) & df.is_valid().to_numpy(zero_copy_only=False)]
             if key == keys[0]:
                 block[0] += total
                 counts[0] += seen
+                rows = np.concatenate([open_rows, rows])
             elif key is not None:
                 keys, counts, block = [key, *keys], np.concatenate([seen[None], counts]), np.concatenate([total[None], block])
+                rows = np.concatenate([open_rows, rows + [1, 0, 0, 0]])
             key, seen, total = keys[-1], counts[-1], block[-1]
             if len(keys) > 1:
-                yield out(keys[:-1], counts[:-1], block[:-1])
+                yield out(keys[:-1], counts[:-1], block[:-1], rows[rows[:, 0] < len(keys) - 1])
+            open_rows = rows[rows[:, 0] == len(keys) - 1] * [0, 1, 1, 1]
         if key is not None:
-            yield out([key], seen[None], total[None])
+            yield out([key], seen[None], total[None], open_rows)
 
     # one shuffle by id; the order makes the rows of a record neighbours (the id first, as it sorts fastest)
-    rows = tokens.join(model, "token", "left").select("side", "id", F.col("attr").cast("int").alias("attr"), "token", _weight(n_records).alias("w"), "vector").repartition("id").sortWithinPartitions("id", "side", "attr")
-    return rows.mapInArrow(run, f"side int, id {kind}, trust array<float>, vector binary")
+    rows = tokens.join(model, "token", "left").select("side", "id", F.col("attr").cast("int").alias("attr"), "token", _weight(n_records).alias("w"), "vector", "df").repartition("id").sortWithinPartitions("id", "side", "attr")
+    return rows.mapInArrow(run, f"side int, id {kind}, trust array<float>, vector binary, {_LISTS_SCHEMA}")
 
 
 def _planes(view: int, bits: int) -> np.ndarray:
@@ -489,15 +538,15 @@ def sketches_of(vectors: np.ndarray) -> np.ndarray:
 
 
 def with_sketches(vectors: DataFrame) -> DataFrame:
-    """``id, trust, vector, sketch`` of one side's ``id, trust, vector``."""
+    """One side's ``id, trust, vector``, its lists of tokens and the ``sketch`` of each record."""
     kind = vectors.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             columns = [*batch.columns, pa.array(sketches_of(_telling(_unpacked(batch.column(2)), _trust(batch.column(1)))))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "trust", "vector", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "trust", "vector", *_LISTS, "sketch"])
 
-    return vectors.select("id", "trust", "vector").mapInArrow(run, f"id {kind}, trust array<float>, vector binary, sketch bigint")
+    return vectors.select("id", "trust", "vector", *_LISTS).mapInArrow(run, f"id {kind}, trust array<float>, vector binary, {_LISTS_SCHEMA}, sketch bigint")
 
 
 def _expected(a: Column, b: Column) -> Column:
@@ -505,7 +554,7 @@ def _expected(a: Column, b: Column) -> Column:
     found, at, total = [], 0, sum(SKETCH_BITS)
     for attr, bits in enumerate(SKETCH_BITS):
         mask = F.lit(((1 << bits) - 1) << at)
-        cosine = F.cos(F.bit_count(a.bitwiseXOR(b).bitwiseAND(mask)) * float(np.pi / bits))
+        cosine = F.get(F.lit([float(np.cos(n * np.pi / bits)) for n in range(bits + 1)]), F.bit_count(a.bitwiseXOR(b).bitwiseAND(mask)))
         if attr:
             there = a.bitwiseAND(b).bitwiseAND(F.lit(1 << (total + attr - 1))) != 0
             cosine = F.when(there, cosine).otherwise(MISSING)
@@ -514,26 +563,12 @@ def _expected(a: Column, b: Column) -> Column:
     return sum(found[1:], found[0]) - F.least(*found)
 
 
-def title_lists(tokens: DataFrame) -> DataFrame:
-    """``side, id, titles, persons, nt, np``: bridging title tokens, the rarest first, and person tokens.
-
-    ``nt`` and ``np`` count those that do not bridge, too.
-    """
-    title, person = (F.col("attr") == ATTRIBUTES[a] for a in ("title", "person"))
-    bridging = F.col("df").isNotNull()
-    return tokens.where(title | person).groupBy("side", "id").agg(
-        F.array_sort(F.collect_list(F.when(title & bridging, F.struct("df", "token")))).alias("titles"),
-        F.collect_list(F.when(person & bridging, F.col("token"))).alias("persons"),
-        F.count_if(title).alias("nt"), F.count_if(person).alias("np"),
-    )
-
-
 def _title_keys(lists: DataFrame, is_left: bool) -> DataFrame:
     """``id, sketch, slot``: a title token with a person's token or a year, for the joins of :func:`evidence_keys`."""
     each = lists.select("id", "sketch", "year", "persons", "nt", (F.col("np") == 0).alias("bare"), F.posexplode("titles").alias("_r", "t"))
     # two token sets that share so much of the smaller one share one of its rarest few
     pre = F.col("_r") <= F.col("nt") - F.ceil(F.lit(TITLE_SHARE) * F.col("nt"))
-    titles = each.select("id", "sketch", "year", "persons", "bare", F.col("t.token").alias("token"), pre.alias("pre"))
+    titles = each.select("id", "sketch", "year", "persons", "bare", F.col("t").alias("token"), pre.alias("pre"))
     year = F.col("year").cast("bigint")
     years = F.sequence(year - YEAR_GAP, year + YEAR_GAP) if is_left else F.array(year)
     # in each join one side brings the rarest tokens only; those on years need a side without persons
@@ -548,10 +583,10 @@ def _title_keys(lists: DataFrame, is_left: bool) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("id", "sketch", F.xxhash64("join", "token", "second").alias("slot"))
 
 
-def evidence_keys(left: DataFrame, right: DataFrame, lists: list[DataFrame], left_info: DataFrame, right_info: DataFrame) -> list[DataFrame]:
+def evidence_keys(left: DataFrame, right: DataFrame, left_info: DataFrame, right_info: DataFrame) -> list[DataFrame]:
     """``id, sketch, slot`` of each side: all pairs whose evidence can reach a match share a slot.
 
-    ``lists`` are those of :func:`title_lists`, the info frames have ``id, year, sketch``.
+    The info frames have ``id, year, sketch`` and the lists of :func:`record_vectors`.
     A match needs a shared rare name, or a title of which ``TITLE_SHARE`` is shared along
     with a person's token or, where a side names no person, a year. A name has at most
     ``RARE_NAME`` holders, so its pairs are few however large the input is. Hyperplane
@@ -560,31 +595,32 @@ def evidence_keys(left: DataFrame, right: DataFrame, lists: list[DataFrame], lef
     rare = (F.col("attr") == ATTRIBUTES["name"]) & (F.col("df") <= RARE_NAME)
     return [
         side.where(rare).select("id", F.xxhash64(F.lit("name"), "token").alias("slot")).join(info.select("id", "sketch"), "id").select("id", "sketch", "slot")
-        .unionByName(_title_keys(each.join(info.select("id", "year", "sketch"), "id"), is_left))
-        for side, each, info, is_left in ((left, lists[0], left_info, True), (right, lists[1], right_info, False))
+        .unionByName(_title_keys(info, is_left))
+        for side, info, is_left in ((left, left_info, True), (right, right_info, False))
     ]
 
 
-def candidates(vectors: DataFrame, n_right: int, further: list[DataFrame]) -> DataFrame:
+def candidates(records: list[DataFrame], n_right: int, further: list[DataFrame]) -> DataFrame:
     """Pairs ``left_id, right_id`` that share a slot, of some table or of ``further``, and may be alike in two attributes.
 
+    ``records`` are those of each side, with their ``sketch``.
     Slots grow narrower with the number of records. A slot that is still crowded, as all
     its records have the same title, say, is split by the sign bits of the other attributes.
     """
     bits = int(np.clip(np.ceil(np.log2(max(2, n_right))) + SPARE_BITS, 6, 36))
-    kind = vectors.schema["id"].dataType.simpleString()
+    kind = records[0].schema["id"].dataType.simpleString()
 
     def place(probes: int):
         def run(batches):
             for batch in batches:
                 v = _telling(_unpacked(batch.column(2)), _trust(batch.column(1)))
-                sketch = sketches_of(v)
+                sketch = batch.column(3).to_numpy()
                 rows, slots = (np.concatenate(x) for x in zip(*slots_of(v, bits, probes)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(slots), pa.array(sketch[rows])], names=["id", "slot", "sketch"])
 
         return run
 
-    own = [vectors.where(F.col("side") == k).select("id", "trust", "vector") for k in (0, 1)]
+    own = [side.select("id", "trust", "vector", "sketch") for side in records]
     sides = [v.mapInArrow(place(p), f"id {kind}, slot bigint, sketch bigint") for v, p in zip(own, (PROBES, 0))]
     sides[1] = cut(sides[1])
     crowded = sides[1].groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED)
@@ -601,10 +637,11 @@ def candidates(vectors: DataFrame, n_right: int, further: list[DataFrame]) -> Da
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
         a = left.select(F.col("id").alias("left_id"), "slot", F.col("sketch").alias("sl"))
         b = right.select(F.col("id").alias("right_id"), "slot", F.col("sketch").alias("sr"))
-        return a.join(b, "slot").where(_expected(F.col("sl"), F.col("sr")) >= MIN_EXPECTED)
+        return a.join(b, "slot")
 
-    near = meet(*sides).where(F.bit_count(F.col("sl").bitwiseXOR(F.col("sr"))) <= MAX_SIGN_BITS)
-    return near.unionByName(meet(*further)).select("left_id", "right_id").distinct()
+    expected = _expected(F.col("sl"), F.col("sr")) >= MIN_EXPECTED
+    near = meet(*sides).where((F.bit_count(F.col("sl").bitwiseXOR(F.col("sr"))) <= MAX_SIGN_BITS) & expected)
+    return near.unionByName(meet(*further).where(expected)).select("left_id", "right_id").distinct()
 
 
 def rerank(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -672,13 +709,15 @@ def match_records(left: DataFrame, right: DataFrame, left_info: DataFrame, right
     model = fit_vectors(bridged, counts)
     vectors = cut(record_vectors(bridged, model, sum(counts.values())))
     release(model)
-    lists = cut(title_lists(bridged))
     known = [bridged.where((F.col("side") == k) & F.col("df").isNotNull()).drop("side") for k in (0, 1)]
     infos = [left_info.groupBy("id").agg(F.max("year").alias("year"), F.max("volume").alias("volume")), right_info.groupBy("id").agg(F.max("year").alias("year"), F.max("volumes").alias("volumes"))]
     sides = [cut(with_sketches(vectors.where(F.col("side") == k)).join(infos[k], "id", "left")) for k in (0, 1)]
-    pairs = candidates(vectors, counts[1], evidence_keys(*known, [lists.where(F.col("side") == k) for k in (0, 1)], *sides))
-    scored = cut(rerank(pairs, *(side.drop("sketch") for side in sides)))
-    release(vectors, bridged, lists, *sides)
+    release(vectors)
+    # apart from the cosines, so the shuffle files of the tables are gone before vectors are shuffled
+    pairs = cut(candidates(sides, counts[1], evidence_keys(*known, *sides)))
+    release(bridged)
+    scored = cut(rerank(pairs, *(side.drop("sketch", *_LISTS) for side in sides)))
+    release(pairs, *sides)
     present = sum((F.col(c).isNotNull().cast("int") for c in list(ATTRIBUTES)[1:]), F.col("title").isNotNull().cast("int"))
     cosine = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in list(ATTRIBUTES)[1:]), F.coalesce("title", F.lit(0.0))) / present
     scored = scored.withColumn("cosine", cosine)
@@ -703,37 +742,47 @@ def _calibrate(scored: DataFrame) -> np.ndarray:
     agree = sum((F.coalesce(F.col(c) >= 0.6, F.lit(False)).cast("int") for c in ATTRIBUTES), F.coalesce(F.col("person").isNull() & F.col("name").isNull() & (F.col("title") >= 0.8) & (F.col("gap") <= YEAR_GAP), F.lit(False)).cast("int"))
     doubt = F.coalesce((F.col("person") < 0.25) & (F.coalesce("name", F.lit(0.0)) < 0.85), F.lit(False))
     scored = scored.withColumn("agree", F.when(doubt, 0).otherwise(agree))
-    # what is far below any lead needs no place in the order
-    near = scored.where(F.col("cosine") >= 2 * LEAD)
-    leads = scored.select("left_id", "right_id", "cosine", "agree", *[f.alias(f"f{i}") for i, f in enumerate(_features())])
+    leads = scored.select("left_id", "right_id", "title", "person", "name", "gap", "cosine", "agree")
     for side in ("left_id", "right_id"):
-        order = Window.partitionBy(side).orderBy(F.col("cosine").desc())
-        ahead = near.select(side, "cosine", F.row_number().over(order).alias("_r")).where("_r <= 2").groupBy(side)
-        leads = leads.join(ahead.agg(F.max("cosine").alias(f"top_{side}"), F.min(F.when(F.col("_r") == 2, F.col("cosine"))).alias(f"next_{side}")), side)
+        order = Window.partitionBy(side).orderBy(F.col("cosine").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        leads = leads.withColumns({f"top_{side}": F.first("cosine").over(order), f"next_{side}": F.nth_value("cosine", 2).over(order)})
+        # what is far below any lead has no place in the order
+        leads = leads.where(F.col(f"top_{side}") >= 2 * LEAD).withColumn(f"next_{side}", F.when(F.col(f"next_{side}") >= 2 * LEAD, F.col(f"next_{side}")))
+    leads = leads.select("*", *[f.alias(f"f{i}") for i, f in enumerate(_features())])
     first = [(F.col("cosine") == F.col(f"top_{s}")) & (F.col("cosine") - F.coalesce(F.col(f"next_{s}"), F.lit(0.0)) >= LEAD) for s in ("left_id", "right_id")]
     same = F.when(first[0] & first[1], (F.col("agree") >= 2).cast("double")).when(F.col("top_left_id") - F.col("cosine") >= LEAD, 0.0)
     n_features = len(_features())
-    known = cut(leads.select(same.alias("same"), *[f"f{i}" for i in range(n_features)]).where("same is not null"))
-    sizes = {r["same"]: r["n"] for r in known.groupBy("same").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) < 2:
-        release(known)
-        return np.array([6.0, 3.0, 5.0, -3.0, -2.0, 1.0, -1.0, -6.0])
-    share = [min(1.0, FIT_PAIRS / sizes[k]) for k in (0.0, 1.0)]
+
+    def pack(batches):
+        for batch in batches:
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary())], names=["rows"])
+
+    # read again for every step, so the rows lie packed
+    known = cut(leads.select(same.alias("same"), *[f"f{i}" for i in range(n_features)]).where("same is not null").mapInArrow(pack, "rows binary"))
     beta = np.zeros(n_features + 1)
     for _ in range(30):
 
         def sums(batches, beta=beta):
-            total = np.zeros((len(beta), len(beta) + 1))
+            total = np.zeros((2, len(beta), len(beta) + 2))
             for batch in batches:
-                y, *x = (c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns)
-                x = np.column_stack([*x, np.ones(len(y))])
-                p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-                worth = np.where(y == 1, share[1], share[0])
-                total[:, :-1] += x.T @ (x * (worth * p * (1 - p))[:, None])
-                total[:, -1] += x.T @ (worth * (y - p))
+                for rows in batch.column(0).to_pylist():
+                    rows = np.frombuffer(rows).reshape(-1, len(beta))
+                    for kind in (0, 1):
+                        x = rows[rows[:, 0] == kind]
+                        x = np.column_stack([x[:, 1:], np.ones(len(x))])
+                        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+                        total[kind, :, :-2] += x.T @ (x * (p * (1 - p))[:, None])
+                        total[kind, :, -2] += x.T @ (kind - p)
+                        total[kind, :, -1] += len(x)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-        total = np.sum([np.frombuffer(r["sums"]).reshape(len(beta), -1) for r in known.mapInArrow(sums, "sums binary").collect()], axis=0)
+        total = sum((np.frombuffer(r["sums"]).reshape(2, len(beta), -1) for r in known.mapInArrow(sums, "sums binary").collect()), np.zeros((2, len(beta), len(beta) + 2)))
+        sizes = total[:, 0, -1]
+        if not sizes.all():
+            release(known)
+            return np.array([6.0, 3.0, 5.0, -3.0, -2.0, 1.0, -1.0, -6.0])
+        total = np.tensordot(np.minimum(1.0, FIT_PAIRS / sizes), total[:, :, :-1], 1)
         change = np.linalg.solve(total[:, :-1] + 1e-2 * np.eye(len(beta)), total[:, -1] - 1e-2 * beta)
         beta = beta + change
         if np.abs(change).max() < 1e-6:

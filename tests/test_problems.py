@@ -248,3 +248,55 @@ def test_walks_of_all_records_keep_to_the_graph(spark, monkeypatch):
     # a record has token 5 and one other, so no step leads from one of these to another
     assert all(a == b or 5 in (a, b) for w in walks.tolist() for a, b in zip(w, w[1:]))
     assert {t for w in walks.tolist() for t in w} == {5, *range(100, 125)}
+
+
+def test_training_takes_all_pairs_of_a_walk_at_once(monkeypatch):
+    monkeypatch.setattr(matching, "STEP_WALKS", 1)
+    walks = np.random.default_rng(4).integers(0, 12, (30, matching.WALK_TOKENS))
+    start = matching._signs(np.arange(12))
+    got = matching.skip_grams(walks, start, np.random.default_rng(1))
+    rng, vectors, context = np.random.default_rng(1), start.astype(float), np.zeros(start.shape)
+    seen, counts = np.unique(walks, return_counts=True)
+    noise = np.cumsum(counts**0.75)
+    for walk in walks[rng.permutation(len(walks))]:
+        others = seen[np.searchsorted(noise, rng.random((1, matching.NOISE)) * noise[-1])][0]
+        v, c = vectors.copy(), context.copy()
+        for i, a in enumerate(walk):
+            for j in range(max(0, i - matching.WINDOW), min(len(walk), i + matching.WINDOW + 1)):
+                if walk[j] == a:
+                    continue
+                for b, wanted, weight in [(walk[j], 1, 1), *((x, 0, matching.NEGATIVES / matching.NOISE) for x in others)]:
+                    step = matching.RATE * weight * (wanted - 1 / (1 + np.exp(-v[a] @ c[b])))
+                    vectors[a] += step * c[b]
+                    context[b] += step * v[a]
+    assert np.abs(got - start).max() > 1e-3 and np.allclose(got, vectors, atol=1e-4)
+
+
+def test_rows_are_added_where_places_come_again():
+    at, rows = np.random.default_rng(4).integers(0, 12, 300) ** 2, np.random.default_rng(5).random((300, 3))
+    table, wanted = np.zeros((122, 3)), np.zeros((122, 3))
+    np.add.at(wanted, at, rows)
+    matching._add_rows(table, at, rows)
+    assert np.allclose(table, wanted)
+
+
+def test_records_list_their_tokens_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(0, 1, 0, t, 1, df) for t, df in ((11, 5), (12, 2), (13, None), (14, 3), (15, 4))] + [(0, 1, 1, 20, 1, 2), (0, 2, 2, 30, 1, 2), (1, 3, 0, 12, 1, 2), (1, 3, 1, 21, 1, None)]
+        tokens = spark.createDataFrame(rows, "side int, id int, attr tinyint, token bigint, n int, df int")
+        model = spark.createDataFrame([(12, bytes([1] * matching.DIMENSIONS))], "token bigint, vector binary")
+        got = {(r["side"], r["id"]): (r["titles"], r["persons"], r["nt"], r["np"]) for r in matching.record_vectors(tokens, model, 3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(0, 1): ([12, 14, 15, 11], [20], 5, 1), (0, 2): ([], [], 0, 0), (1, 3): ([12], [], 1, 1)}
+
+
+def test_walks_move_alone(spark, monkeypatch):
+    rows = [(i % 2, i, k, token, 1, df) for i in range(400) for k, token, df in ((0, i % 9, 45), (2, 100 + i // 4, 4))]
+    tokens = spark.createDataFrame(rows, "side int, id int, attr tinyint, token bigint, n int, df int")
+    plans, cut = [], matching.cut
+    monkeypatch.setattr(matching, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    matching.walk_all(tokens, 400, 3).count()
+    steps = [p for p in plans if "CoGroupsInArrow" in p]
+    assert len(steps) == matching.WALK_TOKENS - 1 and all(p.count("Exchange") == 1 for p in steps)
