@@ -439,3 +439,22 @@ def test_packer_closes_the_fullest():
     assert p.add(6, ["a"]) is None and p.add(7, ["b"]) is None and p.add(4, ["c"]) is None
     assert p.open[0] == [10, ["a", "c"]]
     assert p.add(9, ["d"]) == [10, ["a", "c"]]
+
+
+def _sampled_rows():
+    """Twelve records of each of four languages, each with a word of its own."""
+    base = {"en": "the keeper of the harbor sells the old house and leaves", "fr": "le gardien du port vend la vieille maison et part", "de": "der hafenmeister verkauft das alte haus und geht dann", "nl": "de havenmeester verkoopt het oude huis en vertrekt daarna"}
+    own = {"en": "wyqu", "fr": "xeaj", "de": "zöpf", "nl": "gijk"}
+    return [(100 * k + i, f"{text} {own[x]}{chr(97 + i) * 3}orv {own[x]}{chr(97 + i) * 3}ulm.", x) for k, (x, text) in enumerate(base.items()) for i in range(12)]
+
+
+def test_languages_are_fitted_on_all_labelled_records(spark):
+    rows = _sampled_rows()
+    df = spark.createDataFrame(rows, "k int, t string, c string")
+    model = languages.fit_languages(df, "k", "t", "c", per_language=2)
+    # every record's own words are known to its language, not only those of the sample
+    for _, text, lang in rows:
+        words = text.rstrip(".").split()[-2:]
+        at = [languages.word_features(w)[0] for w in words]
+        assert (model.centroids[np.array(model.owners) == languages.LANGUAGES.index(lang)][:, at].max(axis=0) > 0).all(), words
+    assert model.idf[languages.word_features("the")[0]] < np.log(49 / 12) + 1  # frequencies of all 48 records
