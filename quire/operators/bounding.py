@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,8 +96,7 @@ def register_score(s: Column, weights: Column) -> Column:
 
     ``weights`` is a map column from words to weights.
     """
-    endings = [("", ""), ("ies$", "y"), ("es$", ""), ("s$", ""), ("ing$", ""), ("ed$", ""), ("ly$", "")]
-    look = lambda w: F.coalesce(*[F.try_element_at(weights, F.regexp_replace(w, a, b) if a else w) for a, b in endings])
+    look = lambda w: F.coalesce(*[F.try_element_at(weights, F.regexp_replace(w, a, b) if a else w) for a, b in ENDINGS])
     found = F.filter(F.transform(F.regexp_extract_all(F.lower(s), F.lit("([a-z][a-z']+)"), F.lit(1)), look), lambda x: x.isNotNull())
     total = F.aggregate(found, F.lit(0.0), lambda a, x: a + x)
     return F.struct((total / F.nullif(F.size(found), F.lit(0))).alias("mean"), F.size(found).alias("n"), F.array_min(found).alias("lowest"))
@@ -106,6 +108,50 @@ def is_dense(s: Column, score: Column) -> Column:
     return F.coalesce((score["mean"] >= DENSE_MIN) & enough & (score["lowest"] > PLOT_EVIDENCE) & s.rlike(BOOK_NOUN) & ~s.rlike(NARRATIVE_CLAUSE) & ~s.rlike(GENRE_NOUN), F.lit(False))
 
 
+ENDINGS = [("", ""), ("ies$", "y"), ("es$", ""), ("s$", ""), ("ing$", ""), ("ed$", ""), ("ly$", "")]
+_SCORED = re.compile(r"[a-z][a-z']+")
+
+
+def dense_rows(rows: DataFrame, sentence_col: str, weights: dict[str, float]) -> DataFrame:
+    """Those of ``rows`` that :func:`is_dense` holds for, with ``mean`` and ``n`` of :func:`register_score`.
+
+    A map column is searched from its start for every form of every word. Here the weights
+    are a table by word, and sentences without a book noun or with plot are not scored.
+    """
+    s = F.col(sentence_col)
+    likely = rows.where(s.rlike(BOOK_NOUN) & ~s.rlike(NARRATIVE_CLAUSE) & ~s.rlike(GENRE_NOUN))
+    at, held = likely.columns.index(sentence_col), rows.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        known: dict[str, float | None] = {}
+
+        def weight(w: str) -> float | None:
+            if w not in known:
+                forms = (re.sub(a, b, w) if a else w for a, b in ENDINGS)
+                known[w] = next((x for f in forms if (x := held.value.get(f)) is not None), None)
+            return known[w]
+
+        for batch in batches:
+            keep, means, counts = [], [], []
+            for i, sentence in enumerate(batch.column(at).to_pylist()):
+                found = [x for w in _SCORED.findall(sentence.lower()) if (x := weight(w)) is not None]
+                if len(found) < 3:
+                    continue
+                total = 0.0
+                for x in found:  # in order, as the column adds them
+                    total += x
+                mean = total / len(found)
+                if mean >= DENSE_MIN and (len(found) >= 4 or mean >= DENSE_STRONG) and min(found) > PLOT_EVIDENCE:
+                    keep.append(i)
+                    means.append(mean)
+                    counts.append(len(found))
+            part = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(means, pa.float64()), pa.array(counts, pa.int32())], names=[*part.schema.names, "mean", "n"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in likely.schema)
+    return likely.mapInArrow(run, f"{kinds}, mean double, n int")
+
+
 def flag_rows(rows: DataFrame, sentence_col: str, repeated_col: str | None = None, weights: Column | None = None, strict: bool = False) -> DataFrame:
     """``rows`` with ``rules``, ``kind`` (preface, postscript, any or null) and ``hard``."""
     s = F.col(sentence_col)

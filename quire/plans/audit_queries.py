@@ -11,7 +11,7 @@ from ..operators import bounding
 from ..operators import stats as S
 from ..runtime import table
 from . import registry
-from .bounding_queries import _BOUND_SQL, _repeated, register_map
+from .bounding_queries import _BOUND_SQL, _repeated, register_dict
 from .corpus_queries import _PAIRS_SQL, _ROWS_SQL, matched_pairs, register_weights
 from .registry import query
 from .text_queries import _STAT_NAMES, _STOP, BOOKS_SQL, SUMMARIES_SQL, records, summary_stats
@@ -89,11 +89,8 @@ def largest_removals(spark, sf_dir):
 @query("register_dense_flags")
 def register_dense_flags(spark, sf_dir):
     """Sentences that only the register weights flag, with the score of their words."""
-    weights = register_map(spark, sf_dir)
     rows = records(spark, sf_dir, "description").select("book_id", F.posexplode(T.lines_and_sentences(F.col("description"))).alias("pos", "sentence"))
-    flagged = bounding.flag_rows(rows, "sentence", None, weights).where(F.array_contains("rules", "register_dense"))
-    score = bounding.register_score(F.col("sentence"), weights)
-    return flagged.select("book_id", "pos", F.round(score["mean"], 6).alias("mean"), score["n"].alias("n"))
+    return bounding.dense_rows(rows, "sentence", register_dict(spark, sf_dir)).select("book_id", "pos", F.round("mean", 6).alias("mean"), "n")
 
 
 _COST_SQL = f"""wts as ({registry._SQL['register_weights']}), t as (select unnest(regexp_extract_all(lower(description), '[a-z][a-z'']+')) as word from records where description is not null),

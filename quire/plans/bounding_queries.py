@@ -102,10 +102,14 @@ def publication_names(spark, sf_dir):
     return found.select("book_id", bounding.strip_publications(F.col("description")).alias("text"))
 
 
+def register_dict(spark, sf_dir):
+    """The register weights by word; words of enough occurrences are few."""
+    return {r["word"]: r["weight"] for r in keyness.register_weights(pair_tokens(spark, sf_dir)).collect()}
+
+
 def register_map(spark, sf_dir):
-    """The register weights as one map; words of enough occurrences are few, so it is a constant of the plan."""
-    weights = {r["word"]: r["weight"] for r in keyness.register_weights(pair_tokens(spark, sf_dir)).collect()}
-    return F.from_json(F.lit(json.dumps(weights)), "map<string,double>")
+    """The register weights as one map, a constant of the plan."""
+    return F.from_json(F.lit(json.dumps(register_dict(spark, sf_dir))), "map<string,double>")
 
 
 @query("plot_overlap")
