@@ -120,6 +120,7 @@ def char_ngram_tfidf(spark, sf_dir):
     tf = grams.groupBy("wiki_id", "gram").agg((1 + F.log(F.sum("c"))).alias("tf"))
     docs = counted.agg(F.countDistinct("wiki_id").cast("double").alias("n"))
     df = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs)).where((F.col("df") >= 2) & (F.col("df") <= 0.8 * F.col("n")))
-    v = tf.join(df, "gram").select("wiki_id", "gram", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    # runs of characters and summaries grow with the input, so neither side of a join goes through the driver
+    v = tf.join(df.hint("merge"), "gram").select("wiki_id", "gram", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
     norm = v.groupBy("wiki_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return _heaviest(v.join(norm, "wiki_id").select("wiki_id", "gram", F.round(F.col("w") / F.col("norm"), 9).alias("weight")))
+    return _heaviest(v.join(norm.hint("merge"), "wiki_id").select("wiki_id", "gram", F.round(F.col("w") / F.col("norm"), 9).alias("weight")))
