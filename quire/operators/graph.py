@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -205,6 +206,190 @@ def leiden(edges: DataFrame, gamma: float = 8.0, seed: int = 42) -> DataFrame:
     return found.join(numbered(found.where("node = first"), [F.desc("size"), F.col("first")], "grp").select("first", "grp"), "first").select("node", F.col("grp").cast("int").alias("grp"), "size")
 
 
+class CliqueLeiden:
+    """:class:`Leiden` for ties that are common texts: all members of a text are tied by it, and no pair is listed.
+
+    A node has its share in each text; what ties it to a part is its shares times those of
+    the part. So memory follows the members of texts and not their pairs. Shares in texts
+    of ``LARGE`` members and more are added up as arrays.
+    """
+
+    LARGE = 256
+
+    def __init__(self, docs: list[dict[int, float]], sizes: list[float], gamma: float, rng: random.Random, total: float):
+        self.docs, self.sizes, self.gamma, self.rng, self.total = docs, sizes, gamma, rng, total
+        members = defaultdict(list)
+        for v, own in enumerate(docs):
+            for d in own:
+                members[d].append(v)
+        self.members = {d: np.array(m) for d, m in members.items()}
+        self.large = {d for d, m in members.items() if len(m) >= self.LARGE}
+        self.degree = [sum(c * (sizes[d] - 1) for d, c in own.items()) for own in docs]
+
+    def _shares(self, part: list[int], room: int) -> dict:
+        shares = {d: np.zeros(room) if d in self.large else defaultdict(float) for d in self.members}
+        for v, own in enumerate(self.docs):
+            for d, c in own.items():
+                shares[d][part[v]] += c
+        return shares
+
+    def _links(self, v: int, own: int, shares: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Parts that a node is tied to, in order, and the ties, without those to itself."""
+        few: dict[int, float] = defaultdict(float)
+        many, loops = None, 0.0
+        for d, c in self.docs[v].items():
+            loops += c * c
+            if d in self.large:
+                many = shares[d] * c if many is None else many + shares[d] * c
+            else:
+                for p, x in shares[d].items():
+                    if x:
+                        few[p] += c * x
+        if many is None:
+            few[own] -= loops
+            at = np.array(sorted(p for p, x in few.items() if x > 0), dtype=np.int64)
+            return at, np.array([few[p] for p in at.tolist()])
+        for p, x in few.items():
+            many[p] += x
+        many[own] -= loops
+        at = np.flatnonzero(many > 0)
+        return at, many[at]
+
+    def _move(self, part: list[int]) -> None:
+        n = len(part)
+        weight, count = np.zeros(n), np.zeros(n, np.int64)
+        for v, p in enumerate(part):
+            weight[p] += self.degree[v]
+            count[p] += 1
+        empty = [p for p in range(n) if not count[p]]
+        shares, where, waiting = self._shares(part, n), np.array(part), np.ones(n, bool)
+        queue = list(range(n))
+        self.rng.shuffle(queue)
+        while queue:
+            nxt = []
+            for v in queue:
+                waiting[v] = False
+                old = int(where[v])
+                weight[old] -= self.degree[v]
+                at, ties = self._links(v, old, shares)
+                cost = self.gamma * self.degree[v] / self.total
+                gains = ties - cost * weight[at]
+                here = np.searchsorted(at, old)
+                best, gain = old, float(gains[here]) if here < len(at) and at[here] == old else -cost * float(weight[old])
+                if len(at) and gains.max() > gain + 1e-12:
+                    best, gain = int(at[gains.argmax()]), float(gains.max())
+                if gain < -1e-12 and count[old] > 1 and empty:
+                    best = empty.pop()
+                weight[best] += self.degree[v]
+                if best == old:
+                    continue
+                count[old] -= 1
+                count[best] += 1
+                if not count[old]:
+                    empty.append(old)
+                where[v] = best
+                for d, c in self.docs[v].items():
+                    shares[d][old] -= c
+                    shares[d][best] += c
+                    if d not in self.large and not shares[d][old]:
+                        del shares[d][old]
+                near = np.unique(np.concatenate([self.members[d] for d in self.docs[v]]))
+                near = near[(where[near] != best) & ~waiting[near]]
+                near = near[near != v]
+                waiting[near] = True
+                nxt += near.tolist()
+            queue = nxt
+        part[:] = where.tolist()
+
+    def _refine(self, part: list[int]) -> list[int]:
+        n = len(part)
+        piece, size, alone = list(range(n)), np.array(self.degree, dtype=float), [True] * n
+        inside, shares = np.array(part), self._shares(piece, n)  # a piece has the number of one of its nodes, so its part
+        order = list(range(n))
+        self.rng.shuffle(order)
+        for v in order:
+            if not alone[v]:
+                continue
+            at, ties = self._links(v, v, shares)
+            keep = (inside[at] == part[v]) & (at != v)
+            at, ties = at[keep], ties[keep]
+            gains = ties - self.gamma * self.degree[v] * size[at] / self.total
+            if len(at) and gains.max() > 0:
+                best = int(at[gains.argmax()])
+                size[best] += self.degree[v]
+                size[v] -= self.degree[v]
+                alone[v] = alone[best] = False
+                piece[v] = best
+                for d, c in self.docs[v].items():
+                    shares[d][v] -= c
+                    shares[d][best] += c
+                    if d not in self.large and not shares[d][v]:
+                        del shares[d][v]
+        return piece
+
+    def run(self) -> list[int]:
+        graph, where = self, list(range(len(self.docs)))
+        part = list(where)
+        while True:
+            graph._move(part)
+            if len(set(part)) == len(part):
+                break
+            piece = graph._refine(part)
+            names = {p: i for i, p in enumerate(sorted(set(piece)))}
+            if len(names) == len(part):
+                break
+            docs: list[dict[int, float]] = [defaultdict(float) for _ in names]
+            upper = [0] * len(names)
+            for v, own in enumerate(graph.docs):
+                upper[names[piece[v]]] = part[v]
+                for d, c in own.items():
+                    docs[names[piece[v]]][d] += c
+            first = {p: i for i, p in reversed(list(enumerate(upper)))}
+            where, part = [names[piece[x]] for x in where], [first[p] for p in upper]
+            graph = CliqueLeiden(docs, graph.sizes, graph.gamma, graph.rng, graph.total)
+        return [part[x] for x in where]
+
+
+def shared(docs: DataFrame) -> DataFrame:
+    """``doc, key, n``: the distinct members of texts that have two or more, with their number."""
+    one = docs.select("doc", "key").distinct()
+    return one.join(one.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n >= 2"), "doc")
+
+
+def shared_degree(docs: DataFrame) -> DataFrame:
+    """:func:`weighted_degree` of the ties between all members of a text, without listing them."""
+    return shared(docs).groupBy(F.col("key").alias("node")).agg(F.sum(F.col("n") - 1).alias("degree"))
+
+
+def leiden_of_texts(docs: DataFrame, gamma: float = 8.0, seed: int = 42) -> DataFrame:
+    """:func:`leiden` of the ties between all members ``key`` of each ``doc``, whole numbers both.
+
+    The pairs of a text grow with the square of its members, so no pair is listed and no
+    component is too large for a bound on edges.
+    """
+    held = cut(shared(docs))
+    kind, total = held.schema["key"].dataType.simpleString(), float(held.select("doc", "n").distinct().agg(F.sum(F.col("n") * (F.col("n") - 1)).cast("double")).first()[0] or 0.0) or 1.0
+    # a text and a member have numbers of their own, of other parity
+    comp = connected_components(held.select((F.col("key") * 2).alias("a"), (F.col("doc") * 2 + 1).alias("b"), F.lit(1).alias("weight")))
+    placed = held.join(comp.select((F.col("node")).alias("_c"), "component"), F.col("key") * 2 == F.col("_c")).select("component", "doc", "key")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, at = np.unique(pdf["key"].to_numpy(), return_inverse=True)
+        texts, of = np.unique(pdf["doc"].to_numpy(), return_inverse=True)
+        own: list[dict[int, float]] = [{} for _ in nodes]
+        for v, d in zip(at.tolist(), of.tolist()):
+            own[v][d] = 1.0
+        part = CliqueLeiden(own, np.bincount(of).astype(float).tolist(), gamma, random.Random(seed), total).run()
+        members = defaultdict(list)
+        for x, p in zip(nodes.tolist(), part):
+            members[p].append(x)
+        return pd.DataFrame([(x, m[0], len(m)) for m in members.values() for x in m], columns=["node", "first", "size"])
+
+    found = cut(placed.groupBy("component").applyInPandas(run, f"node {kind}, first {kind}, size int"))
+    release(held)
+    return found.join(numbered(found.where("node = first"), [F.desc("size"), F.col("first")], "grp").select("first", "grp"), "first").select("node", F.col("grp").cast("int").alias("grp"), "size")
+
+
 def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     """Rows with their number from 0 in ``order``: each task numbers a range after those before it."""
     placed = cut(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))

@@ -87,8 +87,8 @@ def circle_drift(spark, sf_dir):
 @query("author_communities")
 def author_communities(spark, sf_dir):
     """Communities inside the circles, with the rank of each member by its ties."""
-    edges = _edges(spark, sf_dir)
-    members = graph.leiden(edges, gamma=1.0).where("size >= 3").join(graph.weighted_degree(edges), "node")
+    docs = _docs(spark, sf_dir)
+    members = graph.leiden_of_texts(docs, gamma=1.0).where("size >= 3").join(graph.shared_degree(docs), "node")
     return graph.rank_in_group(members, [F.desc("degree"), F.col("node")])
 
 
