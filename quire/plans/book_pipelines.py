@@ -31,9 +31,12 @@ def _decade_words(cleaned):
     return cleaned.groupBy("decade").agg(F.count(F.lit(1)).alias("n"), F.avg(words).alias("words"))
 
 
+def _author_docs(books):
+    return _one_record(books).select(F.coalesce("work_id", -F.col("book_id")).alias("doc"), F.explode("authors.author_id").alias("key")).distinct()
+
+
 def _author_edges(books):
-    docs = _one_record(books).select(F.coalesce("work_id", -F.col("book_id")).alias("doc"), F.explode("authors.author_id").alias("key")).distinct()
-    return mentions.comention_edges(docs, "doc")
+    return mentions.comention_edges(_author_docs(books), "doc")
 
 
 def _ranked(edges, communities):
@@ -55,7 +58,7 @@ def circle_stages(sf_dir: str, out: str) -> list[Stage]:
     books = f"{sf_dir}/goodreads_books.parquet"
     return [
         Stage("edges", _author_edges, (books,), f"{out}/edges"),
-        Stage("communities", lambda e: graph.leiden(e, gamma=1.0), (f"{out}/edges",), f"{out}/communities"),
+        Stage("communities", lambda b: graph.leiden_of_texts(_author_docs(b), gamma=1.0), (books,), f"{out}/communities"),
         Stage("ranks", _ranked, (f"{out}/edges", f"{out}/communities"), f"{out}/ranks"),
     ]
 
